@@ -129,13 +129,14 @@ def sensor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("event_id").alias("session"),
         address.alias("src_ip"), port.alias("src_port"),
         F.when(c("protocol") == "telnet", 2223).otherwise(2222).alias("dst_port"),
+        F.lit(SENSOR_IP).alias("destination_ip"),
         "username", "password", c("command").alias("input"), F.lit("seen").alias("message"),
     )
     custom = F.struct(
         stamp.alias("timestamp"), "event_id",
         F.when(k == 29, "bogus").otherwise(c("category")).alias("category"),
         F.lit("info").alias("type"), "action", "outcome",
-        address.alias("source_ip"), port.alias("source_port"), F.lit("80").alias("destination_port"),
+        address.alias("source_ip"), port.alias("source_port"), F.lit(SENSOR_IP).alias("destination_ip"), F.lit("80").alias("destination_port"),
         F.when(k != 19, c("protocol")).alias("protocol"), "service",
         F.concat(c("service"), F.lit("-01")).alias("honeypot_id"),
         F.replace(c("service"), F.lit("-"), F.lit("_")).alias("honeypot_type"),
