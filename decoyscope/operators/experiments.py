@@ -208,14 +208,15 @@ def correlate(
 ) -> DataFrame:
     """Score every run at once: links, latencies, coverage, result and reason.
 
-    The matched events feed four aggregates, so they are written to the shared folder once.
+    The matched events and the session links feed several aggregates each, so both are written to
+    the shared folder once.
 
     A run links at most window/timeout sessions and eight detections per session, so those ids stay
     arrays; the unbounded event ids are the long-form `experiment_events`.
     """
     settled = F.coalesce(F.col("telemetry_settled"), F.lit(True)) if scientific else F.lit(True)
     matched = materialize(match_events(experiments.where(settled), events, settings, carry=STEP_COLUMNS), "matched")
-    links = link_sessions(matched, membership, settings)
+    links = materialize(link_sessions(matched, membership, settings), "links")
     found = link_detections(links, detections, settings)
     linked = links.groupBy("experiment_id").agg(
         F.count("*").alias("linked_session_count"), F.array_sort(F.collect_list("session_id")).alias("session_ids")

@@ -33,10 +33,17 @@ def plus_micros(ts: Column, amount: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + amount.cast("bigint"))
 
 
-def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_table(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
+    if not stream:
+        return spark.read.parquet(f"{sf_dir}/events.parquet")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def flat_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """One flat row per table row, before it is shaped as a canonical event or a sensor line."""
     k = F.get_json_object("props", "$.k").cast("int")
-    base = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    base = _event_table(spark, sf_dir, stream).select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id", "event_type", "value",
@@ -72,8 +79,8 @@ def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = flat_events(spark, sf_dir)
+def canonical_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    e = flat_events(spark, sf_dir, stream)
     c = F.col
     mqtt_type = next(field.dataType for field in EVENT.fields if field.name == "mqtt")
     mqtt = F.struct(

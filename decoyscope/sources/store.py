@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from decoyscope.operators.evaluation import export_rows
 from decoyscope.plans.skew import latest_per_key
+from decoyscope.plans.tables import materialize
 from decoyscope.schemas import GROUND_TRUTH, RESOURCE_CSV
 
 
@@ -48,22 +49,37 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def upsert(
-    spark: SparkSession, new: DataFrame, path: str, schema: T.StructType, key: str, partition_source: str
+    spark: SparkSession,
+    new: DataFrame,
+    path: str,
+    schema: T.StructType,
+    key: str,
+    partition_source: str,
+    stale: DataFrame | None = None,
 ) -> None:
-    """Replace rows by key, rewriting only the daily partitions the new rows touch.
+    """Replace rows by key, rewriting only the daily partitions that new or stale rows touch.
 
-    The partition is a function of the row's immutable start, so a key never changes partition.
-    The new rows must not be computed from `path` itself.
+    `stale` rows leave the table unless `new` brings their key back. The partition is a function
+    of the row's immutable start, so a key never changes partition. `new` and `stale` are written
+    down first: they may be derived from the table that is being rewritten.
     """
+    names = schema.fieldNames()
     day = F.to_date(partition_source).alias("day")
-    incoming = new.select(*schema.fieldNames(), day, F.lit(1).alias("_version"))
-    stored_schema = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
-    stored = read_or_empty(spark, path, stored_schema).join(incoming.select("day").distinct(), "day", "left_semi")
-    merged = latest_per_key(
-        stored.select(*schema.fieldNames(), "day", F.lit(0).alias("_version")).unionByName(incoming),
-        ["day", key], ["_version"],
-    ).drop("_version")
+    changes = new.select(*names, day, F.lit(1).alias("_version"), F.lit(True).alias("_keep"))
+    if stale is not None:
+        changes = changes.unionByName(stale.select(*names, day, F.lit(0).alias("_version"), F.lit(False).alias("_keep")))
+    changes = materialize(changes, "upsert")
+    stored = read_or_empty(spark, path, T.StructType([*schema.fields, T.StructField("day", T.DateType())]))
+    touched = stored.join(changes.select("day").distinct(), "day", "left_semi")
+    previous = touched.select(*names, "day", F.lit(-1).alias("_version"), F.lit(True).alias("_keep"))
+    merged = latest_per_key(previous.unionByName(changes), ["day", key], ["_version"]).where("_keep").drop("_version", "_keep")
+    # A written table first, then the swap: a day that lost all its rows is emptied as well.
+    merged = materialize(merged, "merged")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    emptied = changes.select("day").distinct().join(merged.select("day").distinct(), "day", "left_anti")
+    for row in emptied.toLocalIterator():  # days without any row left, rarely more than one
+        blank = spark.createDataFrame([], schema)
+        blank.write.mode("overwrite").parquet(f"{path.rstrip('/')}/day={row.day}")
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
