@@ -41,7 +41,7 @@ LOGIN_FAILED, LOGIN_SUCCESS, COMMAND_INPUT = "cowrie.login.failed", "cowrie.logi
 
 
 def _integer(text: Column) -> Column:
-    return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("int"))
+    return F.trim(text).try_cast("int")
 
 
 def _mqtt(raw: Column) -> Column:
@@ -141,38 +141,38 @@ def normalize(lines: DataFrame, ingested: Column | None = None, observer: str |
         F.when(cowrie & command, F.struct(raw["input"].alias("command_line"))).alias("process"),
         _cowrie_only(cowrie, raw["message"], raw["summary"]).alias("message"),
     )
-    return shaped.withColumn("event_date", F.to_date("ts")).withColumn("reason", rejection_reason())
+    # The verdict is a step of its own (see parse_lines): filters on it must not inline every rule.
+    verdict = F.explode(F.array(rejection_reason()))
+    return shaped.withColumn("event_date", F.to_date("ts")).withColumn("reason", verdict)
 
 
 def rejection_reason() -> Column:
     """First failed rule: parse, time, required fields in order, addresses, vocabularies, numbers."""
-    checks = [
+    required = [
+        F.when(F.col(path).isNull() | F.col(path).contains("%{"), "unresolved_interpolation").when(
+            F.col(path) == "", f"missing_{label}"
+        )
+        for path, label in REQUIRED
+    ]
+    return F.coalesce(
         F.when(F.col("parse_failed"), "json_parse_failure"),
         F.when(F.col("ts").isNull(), "invalid_timestamp"),
-    ]
-    for path, label in REQUIRED:
-        value = F.col(path)
-        checks.append(
-            F.when(value.isNull() | value.contains("%{"), "unresolved_interpolation").when(value == "", f"missing_{label}")
-        )
-    checks += [
+        *required,
         F.when(~is_valid_ip(F.col("source.ip")), "invalid_source_ip"),
         F.when(~is_valid_ip(F.col("destination.ip")), "invalid_destination_ip"),
         F.when(~F.col("event.category").isin(*CATEGORIES), "invalid_event_category_"),
         F.when(~F.col("event.type").isin(*EVENT_TYPES), "invalid_event_type_"),
         F.when(~F.col("event.outcome").isin(*OUTCOMES), "invalid_event_outcome_"),
-        _bad_number("_source_port", "source.port", "invalid_port", 65535),
-        _bad_number("_destination_port", "destination.port", "invalid_port", 65535),
-        _bad_number("_packet_type", "mqtt.packet_type", "invalid_mqtt_packet_type", None),
-    ]
-    return F.coalesce(*checks)
+        _bad_number("_source_port", "invalid_port", 65535),
+        _bad_number("_destination_port", "invalid_port", 65535),
+        _bad_number("_packet_type", "invalid_mqtt_packet_type", 2**31 - 1),
+    )
 
 
-def _bad_number(text: str, typed: str, reason: str, maximum: int | None) -> Column:
-    given = F.coalesce(F.col(text), F.lit("")) != ""
-    value = F.col(typed)
-    allowed = value >= 0 if maximum is None else value.between(0, maximum)
-    return F.when(given & ~F.coalesce(allowed, F.lit(False)), reason)
+def _bad_number(text: str, reason: str, maximum: int) -> Column:
+    return F.when(
+        (F.col(text) != "") & ~F.coalesce(_integer(F.col(text)).between(0, maximum), F.lit(False)), reason
+    )
 
 
 def valid_events(normalized: DataFrame) -> DataFrame:
