@@ -18,7 +18,7 @@ from decoyscope.schemas import GROUND_TRUTH, RESOURCE_CSV
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table, or no rows when its path does not exist; any other error propagates."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
