@@ -152,8 +152,9 @@ def sensor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("username").isNotNull(), F.struct("username", "password")).alias("authentication"),
         F.when(c("mqtt_operation").isNotNull(), F.struct(c("mqtt_operation").alias("operation"), (k % 15).alias("packet_type"))).alias("mqtt"),
     )
+    line = F.when(k == 13, F.concat(F.lit("not-json "), c("event_id"))).when(cowrie, F.to_json(native)).otherwise(F.to_json(custom))
     return e.select(
-        F.when(k == 13, F.concat(F.lit("not-json "), c("event_id"))).when(cowrie, F.to_json(native)).otherwise(F.to_json(custom)).alias("value"),
+        F.explode(F.array(line)).alias("value"),  # a finished text, as a file scan gives it
         F.lit(SENSOR_ID).alias("sensor_id"),
         F.lit(SENSOR_IP).alias("sensor_ip"),
         F.when(cowrie, "cowrie-01").alias("honeypot_id"),

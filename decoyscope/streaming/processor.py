@@ -76,9 +76,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: S
     if first is None:
         return {"sessions": 0, "detections": 0}
     recent = read_or_empty(spark, store.events, EVENT).where(F.col("event_date") >= F.lit(first.date()))
-    affected = (
-        dedupe_events(recent)
-        .join(horizons, F.col("source.ip") == F.col("source_ip"))
+    affected = dedupe_events(
+        recent.join(horizons, F.col("source.ip") == F.col("source_ip"))
         .where(F.col("ts") >= F.col("horizon"))
         .select(*EVENT.fieldNames())
     )
