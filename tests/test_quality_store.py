@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from conftest import at, make_events
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from decoyscope.operators import quality as Q
 from decoyscope.operators.analytics import recent_window, search_events
+from decoyscope.plans.tables import materialize, shared_folder
 from decoyscope.schemas import RESOURCE_FIELDS, SESSION
 from decoyscope.sources import store
 from decoyscope.sources.jsonl import read_lines
@@ -53,6 +55,18 @@ def test_container_stats_use_binary_and_decimal_units(spark):
     assert len(rows) == 1 and (rows[0].memory_usage_bytes, rows[0].network_tx_bytes, rows[0].pids, rows[0].cpu_percent) == (1048576, 2000, 7, 1.5)
 
 
+def test_intermediates_need_a_shared_folder_on_a_cluster(spark):
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://host:7077", "s3a://bucket/x")) == "s3a://bucket/x"
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[4]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host:7077"))
+    df = text(spark, "a", "b")
+    assert sorted(materialize(df, "t").collect()) == sorted(df.collect())
+
+
 def sessions(spark, *rows):
     data = [{"session_id": i, "source_ip": ip, "start_time": at(s), "event_count": n} for i, ip, s, n in rows]
     return spark.createDataFrame([tuple(d.get(f) for f in SESSION.fieldNames()) for d in data], SESSION)
