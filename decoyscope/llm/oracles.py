@@ -1,3 +1,27 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DECONTAMINATION = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS width, array_to_string(w[k : k + 9], ' ') AS phrase
+  FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(k) WHERE len(w) > 0
+), widths AS (SELECT DISTINCT width FROM windows), places AS (
+  SELECT row_id, width, k, array_to_string(w[k : k + width - 1], ' ') AS phrase
+  FROM d, widths, unnest(range(1, len(w) - width + 2)) AS t(k)
+), hits AS (SELECT row_id, k, width, item FROM places JOIN windows USING (width, phrase)), words AS (
+  SELECT row_id, count(DISTINCT k + j) AS n_hit FROM hits, unnest(range(0, width)) AS t(j) GROUP BY row_id
+), items AS (
+  SELECT row_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS named FROM hits GROUP BY row_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (row_id) LEFT JOIN items USING (row_id)"""
+
+ORACLES: dict[str, str] = {
+    "op1_fm_index_decontamination": _DECONTAMINATION,
+}
