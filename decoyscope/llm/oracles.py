@@ -22,6 +22,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (row_id) LEFT JOIN items USING (row_id)"""
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+_LINES = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), l AS (
+  SELECT row_id, doc_id, n, lines[n] AS line,
+    translate(trim(lines[n], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM d, unnest(range(1, len(lines) + 1)) AS t(n)
+), owners AS (SELECT key, min(coalesce(doc_id, 9223372036854775807)) AS owner FROM l WHERE length(key) >= 10 GROUP BY key), judged AS (
+  SELECT row_id, n, line, owner IS NOT NULL AND owner <> coalesce(doc_id, 9223372036854775807) AS gone FROM l LEFT JOIN owners USING (key)
+), kept AS (
+  SELECT row_id, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone) AS text FROM judged GROUP BY row_id
+)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
+FROM d JOIN kept USING (row_id)"""
+
 ORACLES: dict[str, str] = {
     "op1_fm_index_decontamination": _DECONTAMINATION,
+    "op4_line_bitmaps": _LINES,
 }
