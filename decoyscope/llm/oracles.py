@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from . import secret_scan
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _DECONTAMINATION = rf"""
@@ -37,7 +39,42 @@ WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
 FROM d JOIN kept USING (row_id)"""
 
+
+
+def _secrets() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    kinds = []
+    for order, (kind, (pattern, group)) in enumerate(secret_scan._PATTERNS.items(), 1):
+        kinds.append(
+            f"SELECT row_id, doc_id, owner, '{kind}' AS kind, {order} AS ord, string_split_regex(text, {quoted(pattern)}) AS pieces, "
+            f"regexp_extract_all(text, {quoted(pattern)}) AS whole, regexp_extract_all(text, {quoted(pattern)}, {group}) AS vals FROM d"
+        )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, source AS owner, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(kinds)}), p AS (
+  SELECT row_id, doc_id, owner, kind, ord, whole[k] AS whole, vals[k] AS val,
+    list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:k-1], lambda x: length(x))), 0) AS start
+  FROM m, unnest(range(1, len(whole) + 1)) AS t(k)
+), c AS (
+  SELECT *, start + length(whole) AS stop FROM p WHERE (kind <> 'assign' OR length(val) >= {secret_scan.MIN_ASSIGNED}) AND (kind <> 'owned' OR
+    (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')))
+), o AS (
+  SELECT val, count(DISTINCT owner) > {secret_scan.MAX_OWNERS} OR count(DISTINCT doc_id) > {secret_scan.MAX_REPOSITORIES} AS copied FROM c GROUP BY val
+), j AS (
+  SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM c JOIN o USING (val) WHERE kind <> 'owned' OR NOT copied
+), s AS (
+  SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY start, ord) FILTER (kind <> 'owned') AS base, string_agg(span, ',' ORDER BY start, ord) AS spans,
+    count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied FROM j GROUP BY row_id
+)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live,
+  CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied
+FROM d LEFT JOIN s USING (row_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_fm_index_decontamination": _DECONTAMINATION,
     "op4_line_bitmaps": _LINES,
+    "op5_ownership_secrets": _secrets(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, tokenizer_quality, toxicity
+from . import decontaminate, line_dedup, secret_scan, tokenizer_quality, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def op4_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_copied"
+    )
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -48,6 +54,7 @@ def op10_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_fm_index_decontamination": op1_fm_index_decontamination,
     "op4_line_bitmaps": op4_line_bitmaps,
+    "op5_ownership_secrets": op5_ownership_secrets,
     "op7_toxic_segments": op7_toxic_segments,
     "op10_tokenizer_fertility": op10_tokenizer_fertility,
 }
