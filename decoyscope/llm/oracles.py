@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from . import secret_scan
+from . import mixing, secret_scan, sharding
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -73,8 +73,51 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
 FROM d LEFT JOIN s USING (row_id)"""
 
 
+
+_BITS = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT)"
+
+_SHARDS = f"""
+WITH k AS (SELECT row_number() OVER () AS row_id, doc_id, {_BITS} AS bits, strlen(coalesce(text, '')) AS bytes FROM documents),
+p AS (SELECT row_id, depth, bits >> ({sharding.BITS} - depth) AS prefix, bits, bytes FROM k, unnest(range(0, {sharding.BITS + 1})) AS t(depth)),
+s AS (
+  SELECT depth, prefix, sum(bytes) AS shard_bytes FROM p GROUP BY depth, prefix HAVING sum(bytes) <= {sharding.SHARD_BYTES} OR min(bits) = max(bits)
+), leaf AS (SELECT row_id, min(depth) AS depth FROM p JOIN s USING (depth, prefix) GROUP BY row_id)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard, CAST(depth AS INTEGER) AS depth,
+  CAST(bytes AS BIGINT) AS bytes, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes > {sharding.SHARD_BYTES} AS oversized
+FROM p JOIN leaf USING (row_id, depth) JOIN s USING (depth, prefix) JOIN (SELECT row_id, doc_id FROM k) USING (row_id)"""
+
+
+def mix_sql(source: str) -> str:
+    """CTEs `mixed` (all columns, topic, tokens, probability, kept) over a relation with the columns of documents."""
+    ctes = [
+        f"md AS (SELECT *, CAST(greatest(len(string_split_regex(regexp_replace(coalesce(text, ''), '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g'), '[ \\t-\\r]+')), 1) AS BIGINT) AS tokens, "
+        f"{_BITS} / {float(1 << sharding.BITS)} AS draw, coalesce(source, '') AS d_source, coalesce(lang, '') AS d_lang FROM {source})",
+        "mt AS (SELECT *, CASE WHEN contains(text, 'License') OR contains(text, 'Copyright') THEN 'legal' WHEN contains(text, ' | ') THEN 'tabular' "
+        "WHEN contains(text, '=') OR contains(text, '://') OR contains(text, '@') THEN 'technical' WHEN tokens < 100 THEN 'short' "
+        "WHEN tokens >= 1000 THEN 'long' ELSE 'article' END AS d_topic FROM md)",
+        "w0 AS MATERIALIZED (SELECT d_source, d_lang, d_topic, sum(tokens) AS tokens, CAST(sum(tokens) AS DOUBLE) AS w FROM mt GROUP BY ALL)",
+    ]
+    for d in mixing.DIMENSIONS:
+        ctes.append(
+            f"t_{d} AS MATERIALIZED (SELECT d_{d}, x / sum(x) OVER () AS target FROM (SELECT d_{d}, pow(CAST(sum(tokens) AS DOUBLE), {mixing.TEMPER}) AS x FROM w0 GROUP BY d_{d}))"
+        )
+    step = 0
+    for _ in range(mixing.SWEEPS):
+        for d in mixing.DIMENSIONS:
+            ctes.append(
+                f"w{step + 1} AS MATERIALIZED (SELECT d_source, d_lang, d_topic, tokens, w * (target / sum(w) OVER (PARTITION BY d_{d})) AS w "
+                f"FROM w{step} JOIN t_{d} USING (d_{d}))"
+            )
+            step += 1
+    ctes.append(f"mp AS (SELECT d_source, d_lang, d_topic, (w / tokens) / max(w / tokens) OVER () AS probability FROM w{step})")
+    ctes.append("mixed AS (SELECT mt.*, d_topic AS topic, probability, draw < probability AS kept FROM mt JOIN mp USING (d_source, d_lang, d_topic))")
+    return ",\n".join(ctes)
+
+
 ORACLES: dict[str, str] = {
     "op1_fm_index_decontamination": _DECONTAMINATION,
     "op4_line_bitmaps": _LINES,
     "op5_ownership_secrets": _secrets(),
+    "op6_raked_mix": f"WITH {mix_sql('documents')}\nSELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, kept FROM mixed",
+    "op8_extendible_shards": _SHARDS,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, secret_scan, tokenizer_quality, toxicity
+from . import decontaminate, line_dedup, mixing, secret_scan, sharding, tokenizer_quality, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op5_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -43,6 +48,11 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs).select("doc_id", "shard", "depth", "bytes", "shard_bytes", "oversized")
+
+
 def op10_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return tokenizer_quality.judged(docs, keep_text=False).select(
@@ -55,6 +65,8 @@ QUERIES: dict[str, Query] = {
     "op1_fm_index_decontamination": op1_fm_index_decontamination,
     "op4_line_bitmaps": op4_line_bitmaps,
     "op5_ownership_secrets": op5_ownership_secrets,
+    "op6_raked_mix": op6_raked_mix,
     "op7_toxic_segments": op7_toxic_segments,
+    "op8_extendible_shards": op8_extendible_shards,
     "op10_tokenizer_fertility": op10_tokenizer_fertility,
 }
