@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, secret_scan, sharding, tokenizer_quality, toxicity
+from . import decontaminate, jaccard_join, line_dedup, mixing, secret_scan, sharding, tokenizer_quality, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs).select("doc_id", "shard", "depth", "bytes", "shard_bytes", "oversized")
 
 
+def op9_size_banded_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return tokenizer_quality.judged(docs, keep_text=False).select(
@@ -68,5 +72,6 @@ QUERIES: dict[str, Query] = {
     "op6_raked_mix": op6_raked_mix,
     "op7_toxic_segments": op7_toxic_segments,
     "op8_extendible_shards": op8_extendible_shards,
+    "op9_size_banded_jaccard": op9_size_banded_jaccard,
     "op10_tokenizer_fertility": op10_tokenizer_fertility,
 }
