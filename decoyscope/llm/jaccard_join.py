@@ -6,7 +6,8 @@
    only this document holds are dropped, so most documents send nothing further.
 3. Rows (shingle, size, set) are sorted by shingle and size. Neighbours in a run are tried first, which joins groups
    of copies with as many pairs as they have members; verified links give first classes.
-4. Runs that still hold different classes become tiles of neighbouring sizes. A tile compares bitmaps of hashed
+4. Runs that still hold different classes become tiles, long runs several of them (every part of `TILE` sets meets every
+   other part in a tile). Sorted by size, a set meets the band of sizes it can be linked with, by bitmaps of hashed
    shingles: with d bits different the overlap is at most (|x| + |y| - d) / 2. Pairs of different classes that this
    bound lets through are verified.
 5. Verification intersects the sorted hash arrays. All links of step 3 and 4 together give the classes.
@@ -136,23 +137,6 @@ def _prefixes(rows: pa.Table, told: pa.Table) -> pa.Table:
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by `names[0]`, re-cut so that no run of equal keys is split, except those over TILE rows."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
-        if held is not None:
-            columns = [np.concatenate(pair) for pair in zip(held, columns)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut:
-            yield [column[:cut] for column in columns]
-        held = [column[cut:] for column in columns]
-    if held is not None:
-        yield held
-
-
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of sets that follow one another in a run and whose sizes allow a link."""
     last: tuple[int, int, int] | None = None
@@ -170,51 +154,45 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
-def _mixed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, set, root) of runs that hold more than one class; each set once per run."""
-    for key, n, mark, root in _runs(batches, ("key", "n", "set", "root")):
-        opens = np.concatenate(([True], key[1:] != key[:-1]))
-        run = np.cumsum(opens) - 1
-        same = root == root[np.flatnonzero(opens)][run]
-        mixed = np.bincount(run[~same], minlength=run[-1] + 1) > 0
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])))
-        keep = mixed[run] & new
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(column[keep]) for column in (key, n, mark, root)], names=["key", "n", "set", "root"])
-
-
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in a run that sizes and bitmaps let through, tile by tile."""
-    near: list[tuple[np.ndarray, ...]] = []  # earlier tiles of the run that are not too small yet
+    """Pairs of different classes in a tile that sizes and bitmaps let through. Rows come sorted by tile and size."""
+    held = None
     for batch in batches:
-        key, n, mark, root = (batch.column(name).to_numpy() for name in ("key", "n", "set", "root"))
-        bits = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), dtype=np.uint64).reshape(-1, BITMAP // 64)
-        edges = np.union1d(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), np.arange(0, len(key), TILE))
-        for low, high in zip(edges, np.append(edges[1:], len(key))):
-            tile = tuple(column[low:high] for column in (key, n, mark, root, bits))
-            near = [old for old in near if old[0][0] == key[low] and 100 * int(old[1][-1]) >= SIMILARITY * int(n[low])]
-            found = [_compared(old, tile) for old in near] + [_compared(tile, tile)]
-            near.append(tile)
-            pairs = np.concatenate(found, axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
-def _compared(left: tuple, right: tuple) -> np.ndarray:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        key, low, high = (held.column(name).to_numpy() for name in ("key", "low", "high"))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        if len(cuts):
+            yield from _tile_pairs(held.slice(0, cuts[-1]), np.concatenate(([0], cuts)))
+            held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield from _tile_pairs(held, np.array([0, held.num_rows]))
+
+
+def _tile_pairs(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    low, high, part, n, mark, root = (rows.column(name).to_numpy() for name in ("low", "high", "part", "n", "set", "root"))
+    bits = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), dtype=np.uint64).reshape(-1, BITMAP // 64)
+    for begin, end in zip(cuts, cuts[1:]):
+        tile = [column[begin:end] for column in (n.astype(np.int64), mark, root, bits, part)]
+        pairs = _compared(*tile, across=low[begin] != high[begin])
+        if pairs.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def _compared(n: np.ndarray, mark: np.ndarray, root: np.ndarray, bits: np.ndarray, part: np.ndarray, across: bool) -> np.ndarray:
+    """Of rows sorted by size: pairs (smaller mark, larger mark) of different classes that can be linked."""
     out = [np.zeros((2, 0), dtype=np.int64)]
-    _, n, mark, root, bits = right
-    for k in range(len(left[0])):
-        size = np.int64(left[1][k])
-        wanted = (root != left[3][k]) & (100 * np.minimum(n, size) >= SIMILARITY * np.maximum(n, size))
-        if left is right:
-            wanted[: k + 1] = False
-        at = np.flatnonzero(wanted)
+    for k in range(len(n) - 1):
+        end = int(np.searchsorted(n, 100 * n[k] // SIMILARITY, side="right"))
+        wanted = root[k + 1 : end] != root[k]
+        if across:  # both parts meet here; pairs inside a part meet in a tile of their own
+            wanted &= part[k + 1 : end] != part[k]
+        at = np.flatnonzero(wanted) + k + 1
         if len(at):
-            apart = np.bitwise_count(bits[at] ^ left[4][k]).sum(axis=1, dtype=np.int64)
-            both = size + n[at]
+            apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            both = n[k] + n[at]
             at = at[(100 + SIMILARITY) * ((both - apart) // 2) >= SIMILARITY * both]
-            own = np.full(len(at), left[2][k])
-            out.append(np.stack([np.minimum(own, mark[at]), np.maximum(own, mark[at])]))
+            out.append(np.stack([np.minimum(mark[k], mark[at]), np.maximum(mark[k], mark[at])]))
     return np.concatenate(out, axis=1)
 
 
@@ -248,17 +226,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     owners = sets.where("n > 0").groupBy("set").agg(F.min(F.struct("doc", "block")).alias("owner"))
     owners = stored(owners.select("set", "owner.doc", "owner.block"), "set-owners")
-    shared = sets.where("shingles is not null")
-    bodies = stored(shared.select("set", "block", "bitmap", "shingles").join(owners.select("set", "block"), ["set", "block"], "left_semi").dropDuplicates(["set"]), "set-bodies")
-    rows = shared.select("set", "n", F.explode("keys").alias("key"))
+    shared = sets.where("shingles is not null").select("set", "n", "block", "keys", "bitmap", "shingles")
+    bodies = stored(shared.join(owners.select("set", "block"), ["set", "block"], "left_semi"), "set-bodies")
+    rows = bodies.select("set", "n", F.explode("keys").alias("key"))
 
     pairs = rows.repartition("key").sortWithinPartitions("key", "n", "set").mapInArrow(_neighbours, "a long, b long")
     links = stored(_links(pairs, bodies), "neighbour-links")
     roots = components(links)
 
     rooted = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").select("key", "n", "set", F.coalesce("root", "set").alias("root"))
-    mixed = rooted.repartition("key").sortWithinPartitions("key", "n", "set").mapInArrow(_mixed_runs, "key long, n int, set long, root long")
-    tiles = mixed.join(bodies.select("set", "bitmap"), "set").repartition("key").sortWithinPartitions("key", "n", "set")
+    runs = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    runs = runs.where("low <> high").select("key", F.ceil(F.col("size") / TILE).alias("parts"))
+    dealt_out = rooted.join(runs, "key").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
+    dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt_out = dealt_out.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "set", "root")
+    tiles = dealt_out.join(bodies.select("set", "bitmap"), "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "set")
     more = stored(_links(tiles.mapInArrow(_tiles, "a long, b long"), bodies), "tile-links")
     final = components(links.union(more)) if not more.isEmpty() else roots
 
