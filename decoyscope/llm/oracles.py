@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from . import mixing, secret_scan, sharding
+from . import backoff, mixing, secret_scan, sharding
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -114,8 +114,28 @@ def mix_sql(source: str) -> str:
     return ",\n".join(ctes)
 
 
+def _backoff() -> str:
+    ctes, order = [], backoff.ORDER
+    for n in range(1, order + 1):
+        ctes.append(f"g{n} AS (SELECT row_id, k, array_to_string(w[k - {n - 1} : k], ' ') AS g FROM d, unnest(range({n}, len(w) + 1)) AS t(k))")
+        ctes.append(f"c{n} AS (SELECT g, count(*) AS c FROM g{n} GROUP BY g)")
+    ctes.append(f"s1 AS (SELECT row_id, k, ln(c / (SELECT count(*) FROM g1)) AS s FROM g1 JOIN c1 USING (g))")
+    for n in range(2, order + 1):
+        # the context of the n-gram that ends at word k is the (n-1)-gram that ends at word k - 1
+        ctes.append(f"m{n} AS (SELECT row_id, k, c{n}.c AS own, x.c AS context FROM g{n} JOIN c{n} USING (g) JOIN (SELECT row_id, k + 1 AS k, g AS cg FROM g{n - 1}) USING (row_id, k) JOIN c{n - 1} x ON x.g = cg)")
+        ctes.append(
+            f"s{n} AS (SELECT row_id, k, CASE WHEN own IS NULL THEN s WHEN own >= {backoff.MIN_COUNT} THEN ln(own / context) ELSE ln({backoff.ALPHA}) + s END AS s "
+            f"FROM s{n - 1} LEFT JOIN m{n} USING (row_id, k))"
+        )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+{", ".join(ctes)}, t AS (SELECT row_id, sum(s ORDER BY k) AS total FROM s{order} GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(total, 0), 4) AS log_score, round(exp(-total / len(w)), 4) AS perplexity FROM d LEFT JOIN t USING (row_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_fm_index_decontamination": _DECONTAMINATION,
+    "op3_stupid_backoff": _backoff(),
     "op4_line_bitmaps": _LINES,
     "op5_ownership_secrets": _secrets(),
     "op6_raked_mix": f"WITH {mix_sql('documents')}\nSELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, kept FROM mixed",

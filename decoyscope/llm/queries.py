@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, secret_scan, sharding, tokenizer_quality, toxicity
+from . import backoff, decontaminate, html_content, jaccard_join, line_dedup, mixing, secret_scan, sharding, tokenizer_quality, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,16 @@ def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_dom_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_content.extract(pages, html_content.train(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("perplexity", 4).alias("perplexity"))
+
+
 def op4_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).select(
@@ -67,6 +77,8 @@ def op10_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_fm_index_decontamination": op1_fm_index_decontamination,
+    "op2_dom_tree_text": op2_dom_tree_text,
+    "op3_stupid_backoff": op3_stupid_backoff,
     "op4_line_bitmaps": op4_line_bitmaps,
     "op5_ownership_secrets": op5_ownership_secrets,
     "op6_raked_mix": op6_raked_mix,
