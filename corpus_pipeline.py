@@ -3,21 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from decoyscope.llm import tokenizer_quality
+from decoyscope.llm import decontaminate, jaccard_join, mixing, sharding, tokenizer_quality
+from decoyscope.llm.common import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the tokeniser-fertility rules, columns unchanged."""
+    """Documents that pass the tokeniser-fertility rules."""
     return tokenizer_quality.judged(docs).where("kept").select(docs.columns)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard_join.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages; a document that was nothing else goes."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rest = found.where("n_hit = 0 or n_hit < n_words")
+    cut = rest.withColumn("text", decontaminate.cut(F.col("text"), F.col("spans")))
+    return cut.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics meet their target weights."""
+    return mixing.mix(docs).where("kept").select(docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the shard each is written to."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality rules", quality), ("near duplicates", near_duplicates), ("benchmark decontamination", decontamination),
+    ("mixing", mixture), ("sharding", shards),
+]
 ORACLE_SQL = None
+"""The first stage reads public vocabularies, which SQL cannot; tests compare it with a brute-force run."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

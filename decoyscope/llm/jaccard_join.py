@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .census import answers, corpus_counts, dealt
-from .common import stored, text_bytes
+from .common import row_key, stored, text_bytes
 from .components import components
 from .textkit import NON_SPACE, chunks, mix, windows, within
 
@@ -41,10 +41,10 @@ TILE = 2048
 LAST = (1 << 63) - 1
 
 _SETS = pa.schema([
-    ("doc", pa.int64()), ("n", pa.int32()), ("set", pa.int64()), ("block", pa.int32()), ("keys", pa.list_(pa.int64())), ("bitmap", pa.binary()),
+    ("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("set", pa.int64()), ("block", pa.int32()), ("keys", pa.list_(pa.int64())), ("bitmap", pa.binary()),
     ("shingles", pa.binary()),
 ])
-_SETS_DDL = "doc long, n int, set long, block int, keys array<long>, bitmap binary, shingles binary"
+_SETS_DDL = "doc long, row long, n int, set long, block int, keys array<long>, bitmap binary, shingles binary"
 
 
 def shingle_sets(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def _prefixes(rows: pa.Table, told: pa.Table) -> pa.Table:
             bitmap[k], body[k] = bits.tobytes(), shingles[ends[k] - sizes[k] : ends[k]].tobytes()
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(number))), pa.int32()), pa.array(shingles[sent].view(np.int64)))
     return pa.table(
-        [rows.column("doc"), pa.array(sizes, pa.int32()), pa.array(marks), rows.column("block"), lists, pa.array(bitmap, pa.binary()), pa.array(body, pa.binary())],
+        [rows.column("doc"), rows.column("row"), pa.array(sizes, pa.int32()), pa.array(marks), rows.column("block"), lists, pa.array(bitmap, pa.binary()), pa.array(body, pa.binary())],
         schema=_SETS,
     )
 
@@ -216,16 +216,20 @@ def _links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its class)."""
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.withColumns({"doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "row": row_key(F.col(text))})
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc (`LAST` for null), row (hash of the text), n, and of its class the smallest doc and that document's row."""
+    own = _named(docs.select(doc_id, text), doc_id, text).select("doc", "row", F.col(text).alias("text"))
     size = text_bytes(own)
-    blocks = dealt(own, size, F.col("doc"), F.col("text"))
+    blocks = dealt(own, size, F.col("doc"), F.col("row"))
     told = corpus_counts(blocks, _count, size // 6, _rarity)
     sets = stored(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_prefixes, _SETS_DDL), "shingle-sets")
 
-    owners = sets.where("n > 0").groupBy("set").agg(F.min(F.struct("doc", "block")).alias("owner"))
-    owners = stored(owners.select("set", "owner.doc", "owner.block"), "set-owners")
+    owners = sets.where("n > 0").groupBy("set").agg(F.min(F.struct("doc", "row", "block")).alias("owner"))
+    owners = stored(owners.select("set", "owner.doc", "owner.row", "owner.block"), "set-owners")
     shared = sets.where("shingles is not null").select("set", "n", "block", "keys", "bitmap", "shingles")
     bodies = stored(shared.join(owners.select("set", "block"), ["set", "block"], "left_semi"), "set-bodies")
     rows = bodies.select("set", "n", F.explode("keys").alias("key"))
@@ -245,10 +249,28 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     final = components(links.union(more)) if not more.isEmpty() else roots
 
     least = owners.join(final.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    named = least.groupBy("root").agg(F.min("doc").alias("class"))
+    named = least.groupBy("root").agg(F.min(F.struct("doc", "row")).alias("class"))
     of_set = least.select("set", "root").join(named, "root").select("set", "class")
-    found = sets.select("doc", "n", "set").join(of_set, "set", "left")
-    known = lambda column: F.when(column != LAST, column)
-    return found.select(
-        known(F.col("doc")).alias(doc_id), F.col("n").cast("long").alias("n_shingles"), known(F.coalesce("class", "doc")).alias("component_id")
+    found = sets.select("doc", "row", "n", "set").join(of_set, "set", "left")
+    return found.select("doc", "row", "n", F.coalesce("class.doc", "doc").alias("class_doc"), F.coalesce("class.row", "row").alias("class_row"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its class)."""
+    known = lambda column: F.when(F.col(column) != LAST, F.col(column))
+    return grouped(docs, doc_id, text).select(
+        known("doc").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), known("class_doc").alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, columns unchanged, with one row of each class: that of its smallest doc_id."""
+    found = stored(grouped(docs, doc_id, text), "classes")
+    by_name = ["doc", "row"]
+    gone = found.where("doc <> class_doc or row <> class_row").select(*by_name).distinct()
+    kept = _named(docs, doc_id, text).join(gone, by_name, "left_anti")
+    repeated = stored(found.groupBy(*by_name).count().where("count > 1").select(*by_name), "repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, by_name, "left_semi").dropDuplicates(by_name)
+        kept = kept.join(repeated, by_name, "left_anti").unionByName(once)
+    return kept.select(docs.columns)

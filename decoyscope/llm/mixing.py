@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .sharding import BITS, content_bits
 
-TEMPER = 0.7
+TEMPER = 0.8
 SWEEPS = 10
 DIMENSIONS = ("source", "lang", "topic")
 ADDED = ("topic", "tokens", "probability", "kept")
