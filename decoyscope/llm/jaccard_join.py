@@ -8,9 +8,10 @@
    of copies with as many pairs as they have members; verified links give first classes.
 4. Runs that still hold different classes become tiles, long runs several of them (every part of `TILE` sets meets every
    other part in a tile). Sorted by size, a set meets the band of sizes it can be linked with, by bitmaps of hashed
-   shingles: with d bits different the overlap is at most (|x| + |y| - d) / 2. Pairs of different classes that this
-   bound lets through are verified.
-5. Verification intersects the sorted hash arrays. All links of step 3 and 4 together give the classes.
+   shingles: with d bits different the overlap is at most (|x| + |y| - d) / 2. Of the pairs of two classes that this
+   bound lets through, the likeliest few are verified first, for one link is enough to join two classes; more rounds
+   follow until every pair of different classes that passes the bound has been verified.
+5. Verification intersects the sorted hash arrays. All links together give the classes.
 
 No pair that could join two classes is left out, and no pairs inside a class are listed. Linked: 100 * |x and y| >=
 75 * |x or y|. Edge cases: a text of fewer than five words is one shingle; a null or empty text, or one without words,
@@ -38,6 +39,9 @@ SIMILARITY = 75
 """Per cent of the union that a link's intersection has at least."""
 BITMAP = 2048
 TILE = 2048
+"""Sets that a tile's part has; a run of more is cut."""
+FIRST_PAIRS = 8
+"""Candidate pairs of two classes that are tried first; the next rounds try 16 times as many, until none is left."""
 LAST = (1 << 63) - 1
 
 _SETS = pa.schema([
@@ -154,34 +158,42 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in a tile that sizes and bitmaps let through. Rows come sorted by tile and size."""
-    held = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        held = rows if held is None else pa.concat_tables([held, rows])
-        key, low, high = (held.column(name).to_numpy() for name in ("key", "low", "high"))
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-        if len(cuts):
-            yield from _tile_pairs(held.slice(0, cuts[-1]), np.concatenate(([0], cuts)))
-            held = held.slice(cuts[-1])
-    if held is not None and held.num_rows:
-        yield from _tile_pairs(held, np.array([0, held.num_rows]))
-
-
-def _tile_pairs(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _tiles(most: int):
+    """Candidate pairs (a, b) by tile, at most the `most` likeliest of two classes; `more` tells that there are others.
+
+    Rows come sorted by tile and size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            key, low, high = (held.column(name).to_numpy() for name in ("key", "low", "high"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            if len(cuts):
+                yield from _tile_pairs(held.slice(0, cuts[-1]), np.concatenate(([0], cuts)), most)
+                held = held.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield from _tile_pairs(held, np.array([0, held.num_rows]), most)
+
+    return run
+
+
+def _tile_pairs(rows: pa.Table, cuts: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     low, high, part, n, mark, root = (rows.column(name).to_numpy() for name in ("low", "high", "part", "n", "set", "root"))
     bits = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), dtype=np.uint64).reshape(-1, BITMAP // 64)
     for begin, end in zip(cuts, cuts[1:]):
-        tile = [column[begin:end] for column in (n.astype(np.int64), mark, root, bits, part)]
-        pairs = _compared(*tile, across=low[begin] != high[begin])
-        if pairs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        tile = [column[begin:end] for column in (n.astype(np.int64), root, bits, part)]
+        pairs, more = _compared(*tile, across=low[begin] != high[begin], most=most)
+        if len(pairs):
+            a, b = mark[begin:end][pairs[:, 0]], mark[begin:end][pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
 
 
-def _compared(n: np.ndarray, mark: np.ndarray, root: np.ndarray, bits: np.ndarray, part: np.ndarray, across: bool) -> np.ndarray:
-    """Of rows sorted by size: pairs (smaller mark, larger mark) of different classes that can be linked."""
-    out = [np.zeros((2, 0), dtype=np.int64)]
+def _compared(n: np.ndarray, root: np.ndarray, bits: np.ndarray, part: np.ndarray, across: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by size: places of pairs of different classes that can be linked, and whether their classes have more."""
+    found = []
     for k in range(len(n) - 1):
         end = int(np.searchsorted(n, 100 * n[k] // SIMILARITY, side="right"))
         wanted = root[k + 1 : end] != root[k]
@@ -191,9 +203,20 @@ def _compared(n: np.ndarray, mark: np.ndarray, root: np.ndarray, bits: np.ndarra
         if len(at):
             apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
             both = n[k] + n[at]
-            at = at[(100 + SIMILARITY) * ((both - apart) // 2) >= SIMILARITY * both]
-            out.append(np.stack([np.minimum(mark[k], mark[at]), np.maximum(mark[k], mark[at])]))
-    return np.concatenate(out, axis=1)
+            fits = (100 + SIMILARITY) * ((both - apart) // 2) >= SIMILARITY * both
+            if fits.any():
+                found.append(np.stack([np.full(fits.sum(), k), at[fits], apart[fits]], axis=1))
+    if not found:
+        return np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=bool)
+    pairs = np.concatenate(found)
+    one, two = root[pairs[:, 0]], root[pairs[:, 1]]
+    order = np.lexsort((pairs[:, 2], np.maximum(one, two), np.minimum(one, two)))
+    pairs, one, two = pairs[order], np.minimum(one, two)[order], np.maximum(one, two)[order]
+    opens = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    group = np.cumsum(opens) - 1
+    place = np.arange(len(group)) - np.flatnonzero(opens)[group]
+    kept = place < most
+    return pairs[kept, :2], (np.bincount(group) > most)[group[kept]]
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +232,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield kept
 
 
+def _tile_rows(rows: DataFrame, roots: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The sets of runs that hold more than one class, with their bitmaps, dealt into tiles and sorted.
+
+    Runs of the same sets are taken once. A run over TILE sets is cut in parts, and every two parts share a tile.
+    """
+    rooted = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").select("key", "n", "set", F.coalesce("root", "set").alias("root"))
+    runs = rooted.groupBy("key").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("set")).alias("members"),
+        F.min("set").alias("first"),
+    )
+    runs = runs.where("least <> most").groupBy("size", "members", "first").agg(F.min("key").alias("key"))
+    dealt_out = rooted.join(runs.select("key", F.ceil(F.col("size") / TILE).alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
+    dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt_out = dealt_out.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "set", "root")
+    return dealt_out.join(bodies.select("set", "bitmap"), "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "set")
+
+
 def _links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs that are linked."""
+    """Of different pairs: those that are linked."""
     x = bodies.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
     y = bodies.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    return pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
 
 def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -235,18 +275,19 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = bodies.select("set", "n", F.explode("keys").alias("key"))
 
     pairs = rows.repartition("key").sortWithinPartitions("key", "n", "set").mapInArrow(_neighbours, "a long, b long")
-    links = stored(_links(pairs, bodies), "neighbour-links")
-    roots = components(links)
-
-    rooted = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").select("key", "n", "set", F.coalesce("root", "set").alias("root"))
-    runs = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    runs = runs.where("low <> high").select("key", F.ceil(F.col("size") / TILE).alias("parts"))
-    dealt_out = rooted.join(runs, "key").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
-    dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt_out = dealt_out.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "set", "root")
-    tiles = dealt_out.join(bodies.select("set", "bitmap"), "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "set")
-    more = stored(_links(tiles.mapInArrow(_tiles, "a long, b long"), bodies), "tile-links")
-    final = components(links.union(more)) if not more.isEmpty() else roots
+    final = components(stored(_links(pairs.distinct(), bodies), "neighbour-links"))
+    tested, most = None, FIRST_PAIRS
+    while True:
+        tiles = _tile_rows(rows, final, bodies).mapInArrow(_tiles(most), "a long, b long, more boolean")
+        tried = stored(tiles.groupBy("a", "b").agg(F.max("more").alias("more")), "tile-pairs")
+        fresh = tried.select("a", "b") if tested is None else tried.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        links = stored(_links(fresh, bodies), "tile-links")
+        if not links.isEmpty():
+            final = components(links.union(final.select("node", "root")))
+        if tried.where("more").isEmpty():
+            break
+        tested = tried.select("a", "b") if tested is None else tested.union(tried.select("a", "b")).distinct()
+        most *= 16
 
     least = owners.join(final.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = least.groupBy("root").agg(F.min(F.struct("doc", "row")).alias("class"))
