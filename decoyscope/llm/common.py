@@ -49,3 +49,14 @@ def row_key(text: Column, *more: Column) -> Column:
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Total UTF-8 size of a text column; one number, for choosing how many parts a job needs."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def about(rows: DataFrame, limit: int, *keys: Column) -> DataFrame:
+    """About `limit` rows, or all if there are not more: those whose keys hash below a limit's share of all hashes.
+
+    A filter on every row; only the number of rows passes the driver.
+    """
+    number = rows.count()
+    if number <= limit:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(limit / number * (1 << 40)))

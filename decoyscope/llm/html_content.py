@@ -5,7 +5,7 @@ A tree of them has an emission per node (tag, class and id words; for text its l
 and a potential per parent-child edge. Messages go up from the leaves and down from the root, level by level
 for a whole batch of pages at once, and give every text run its exact marginal; runs with at least one half are the
 main text, in page order. All weights are smoothed counts from labelled pages: pages built here from lists of
-usual block kinds, and at most `MAX_PAGES` pages of the corpus (smallest hash of page_id, at most `MAX_BYTES` each) whose
+usual block kinds, and about `MAX_PAGES` pages of the corpus (by a hash of page_id, at most `MAX_BYTES` each) whose
 own markup names one article.
 
 Character references are decoded; white space in a block becomes one space; blocks are joined by two line feeds.
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import about
+
 MAX_PAGES = 100
 MAX_BYTES = 65_536
 BUILT_PAGES = 600
@@ -360,10 +362,10 @@ def built_pages(number: int, seed: int = 7) -> Iterator[tuple[Page, list[int]]]:
 
 
 def train(pages: DataFrame, page_id: str = "page_id", html: str = "html", limit: int = MAX_PAGES, max_bytes: int = MAX_BYTES) -> Model:
-    """A model from the built pages and at most `limit` pages of the corpus, of at most `max_bytes` each."""
-    own = pages.select(F.xxhash64(page_id).alias("h"), F.col(html).alias("html")).where(F.octet_length("html") <= max_bytes)
+    """A model from the built pages and about `limit` pages of the corpus, of at most `max_bytes` each."""
+    own = pages.select(F.col(page_id).alias("id"), F.col(html).alias("html")).where(F.octet_length("html") <= max_bytes)
     labelled = list(built_pages(BUILT_PAGES))
-    for row in own.orderBy("h", "html").limit(limit).collect():
+    for row in about(own, limit, F.col("id"), F.octet_length("html")).sort("id", "html").collect():
         page = parse(row["html"])
         labels = named_labels(page)
         if labels is not None:

@@ -8,7 +8,7 @@ law (lambda and K from clean calibration documents): in clean text of n words, K
 score S or more are expected. The significant segments' evidence is added per document and turned into a
 probability by a logistic curve fitted on the calibration documents.
 
-Training reads at most `MAX_LABELLED` labelled documents (those with the smallest hash of doc_id, of the rows
+Training reads about `MAX_LABELLED` labelled documents (by a hash of doc_id, of the rows
 whose crc32 remainder is not 0); three quarters are counted, one quarter calibrates. Counts live in hashed
 slots, so the model has a fixed size. Every document is scored, in one pass, without a shuffle.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import about, stored
 from .textkit import ALNUM, Chunk, chunks
 
 MAX_LABELLED = 30_000
@@ -183,15 +183,15 @@ def calibrated(model: Model, rows: list[tuple[int, np.ndarray]]) -> Model:
 
 
 def _labelled(labels: DataFrame, limit: int) -> DataFrame:
-    """At most `limit` rows (doc_id, toxic, calibrates) for training, chosen by a hash of doc_id."""
+    """About `limit` rows (doc_id, toxic, calibrates) for training, chosen by a hash of doc_id."""
     rows = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h"))
-    return rows.orderBy("_h", "doc_id").limit(limit).select("doc_id", "toxic", (F.pmod("_h", F.lit(4)) == 0).alias("calibrates"))
+    chosen = about(rows.where(F.col("doc_id").isNotNull()), limit, F.col("doc_id"))
+    return chosen.select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 0).alias("calibrates"))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = MAX_LABELLED) -> Model:
-    """Learn from labelled documents. What reaches the driver: counts by slot (fixed size) and at most `limit` calibration texts' scores."""
-    chosen = _labelled(labels, limit)  # at most `limit` rows, so it may be broadcast
+    """Learn from labelled documents. What reaches the driver: counts by slot (fixed size) and about `limit` / 4 calibration texts' scores."""
+    chosen = _labelled(labels, limit)  # about `limit` rows, so it may be broadcast
     training = stored(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id"), "toxic-training")
     counted = (
         training.where(~F.col("calibrates")).select("text", "toxic").mapInArrow(_counts, "block int, counts binary")
