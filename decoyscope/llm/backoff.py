@@ -8,7 +8,7 @@ word's share of all words. N-grams do not cross documents.
 
 Edge cases: a null or empty text, or one without words, has 0 words, log score 0 and perplexity null; repeated rows
 each get a row and each count; an empty table gives an empty result. Only doc_id and text are read, other columns do not
-matter. N-grams are known by 64-bit hashes.
+matter. N-grams are known by hashes of 56 bits (64 in corpora of over `SHORT_KEYS` n-grams).
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ ALPHA = 0.4
 MIN_COUNT = 2
 _ALL_WORDS = np.uint64((1 << 64) - 1)
 """Stands for the number of words among the n-gram hashes."""
+SHORT_KEYS = 1 << 30
+"""Up to so many n-grams, 56 bits of their hashes are kept: fewer than one in 10**7 then shares its key with another."""
 
 
-def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _grams(texts: pa.ChunkedArray, order: int, mask: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For n = 1 to order: hashes of all n-grams in text order; and the words of each text."""
     words, counts = [], []
     for chunk in chunks(texts):
@@ -38,12 +40,12 @@ def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.nda
         counts.append(number)
     words = np.concatenate(words) if words else np.zeros(0, dtype=np.uint64)
     counts = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
-    return [windows(words, counts, n)[0] for n in range(1, order + 1)], counts
+    return [windows(words, counts, n)[0] & np.uint64(mask) for n in range(1, order + 1)], counts
 
 
-def _counter(order: int):
+def _counter(order: int, mask: int):
     def count(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        grams, counts = _grams(rows.column("text"), order)
+        grams, counts = _grams(rows.column("text"), order, mask)
         keys, number = np.unique(np.concatenate(grams), return_counts=True)
         return np.append(keys, _ALL_WORDS), np.append(number, counts.sum())
 
@@ -65,9 +67,9 @@ def word_scores(grams: list[np.ndarray], counts: np.ndarray, totals: list[np.nda
     return score
 
 
-def _scorer(order: int, alpha: float, least: int):
+def _scorer(order: int, mask: int, alpha: float, least: int):
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        grams, counts = _grams(rows.column("text"), order)
+        grams, counts = _grams(rows.column("text"), order, mask)
         keys = np.append(np.unique(np.concatenate(grams)), _ALL_WORDS)
         found = answers(told).astype(np.float64)
         totals = [found[np.searchsorted(keys, gram)] for gram in grams]
@@ -85,8 +87,10 @@ def score(
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = text_bytes(own)
     blocks = dealt(own, size, F.col("doc_id"), F.col("text"))
-    told = corpus_counts(blocks, _counter(order), order * size // 6)
+    items = order * size // 6  # words have about six bytes
+    mask = ((1 << 64) - 1) ^ (0xFF if items <= SHORT_KEYS else 0)
+    told = corpus_counts(blocks, _counter(order, mask), items)
     kind = own.schema["doc_id"].dataType.simpleString()
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scorer(order, alpha, least), f"doc_id {kind}, n_words long, log_score double")
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scorer(order, mask, alpha, least), f"doc_id {kind}, n_words long, log_score double")
     perplexity = F.when(F.col("n_words") > 0, F.exp(-F.col("log_score") / F.col("n_words")))
     return scored.select(F.col("doc_id").alias(doc_id), "n_words", "log_score", perplexity.alias("perplexity"))

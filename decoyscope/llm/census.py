@@ -30,11 +30,11 @@ def dealt(docs: DataFrame, size: int, *keys: Column, block_bytes: int = BLOCK_BY
 
 def packed(values: np.ndarray) -> bytes:
     """Numbers as compressed byte planes: high planes of small numbers vanish."""
-    return pa.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="lz4", asbytes=True)
+    return pa.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * size, codec="lz4", asbytes=True), dtype=np.uint8)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * size, codec="zstd", asbytes=True), dtype=np.uint8)
     return np.ascontiguousarray(planes.reshape(8, size).T).view("<u8").reshape(-1)
 
 
