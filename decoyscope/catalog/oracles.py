@@ -123,7 +123,7 @@ runs AS (
          CASE WHEN c_custkey % 5 = 0 THEN 'control' ELSE 'attack' END AS trial_kind,
          CASE WHEN c_custkey % 5 <> 0 THEN [{_TYPES}][c_custkey % 8 + 1] END AS expected_detection,
          CASE WHEN c_custkey % 17 = 0 THEN 'cancelled' ELSE 'completed' END AS status,
-         CASE WHEN c_custkey % 150 % 50 = 0 THEN '127.0.' ELSE '10.0.' END || (c_custkey % 150 // 250) || '.' || (c_custkey % 150 % 250 + 1) AS attacker_ip,
+         CASE WHEN c_custkey // 10 % 50 = 0 THEN '127.0.' ELSE '10.0.' END || (c_custkey // 10 // 250) || '.' || (c_custkey // 10 % 250 + 1) AS attacker_ip,
          '192.168.50.10' AS target_ip, c_custkey % 3 = 0 AS any_service,
          TIMESTAMP '2024-01-01' + to_seconds(c_custkey % 29 * 86400) AS start_time,
          TIMESTAMP '2024-01-01' + to_seconds(c_custkey % 29 * 86400 + 86400) AS end_time,
@@ -360,11 +360,16 @@ oracle("internal_cleanup", ",".join([EV, LEGACY]), """
 SELECT 'sessions' AS table_name, count(*) AS rows FROM legacy WHERE source_ip LIKE '127.%'
 UNION ALL SELECT 'detections', count(*) FROM legacy WHERE source_ip LIKE '127.%' AND n > 3""")
 oracle("cleaned_derived", ",".join([EV, LEGACY]), "SELECT source_ip, day, n FROM legacy WHERE source_ip NOT LIKE '127.%'")
-_VIEW = ("SELECT ts, source_ip, honeypot AS honeypot_id, protocol AS network_protocol, action AS event_action, "
-         "outcome AS event_outcome, service || ' ' || action AS message FROM ev")
-for _name in ("event_overview", "honeypot_activity", "source_ip_analysis", "protocol_distribution", "attack_timeline"):
-    oracle(f"saved_view_{_name}", EV, _VIEW)
-oracle("saved_view_authentication_attempts", EV, _VIEW + " WHERE category = 'authentication'")
+_VIEW = """SELECT * EXCLUDE (category) FROM (
+  SELECT ts, CASE WHEN k <> 37 THEN source_ip END AS source_ip, CASE WHEN k <> 31 THEN honeypot END AS honeypot_id,
+         CASE WHEN k <> 41 THEN protocol END AS network_protocol, CASE WHEN k <> 43 THEN action END AS event_action,
+         outcome AS event_outcome, service || ' ' || action AS message, category FROM ev) WHERE """
+for _name, _where in {
+    "event_overview": "true", "honeypot_activity": "honeypot_id IS NOT NULL", "source_ip_analysis": "source_ip IS NOT NULL",
+    "protocol_distribution": "network_protocol IS NOT NULL", "attack_timeline": "event_action IS NOT NULL",
+    "authentication_attempts": "category = 'authentication'",
+}.items():
+    oracle(f"saved_view_{_name}", EV, _VIEW + _where)
 oracle("saved_view_experiments", SCORED, "SELECT experiment_id, name, scenario_id, status, result FROM scored")
 oracle("recent_experiments", RUNS, "SELECT experiment_id, created_at, status FROM runs ORDER BY created_at DESC, experiment_id LIMIT 200")
 oracle("events_by_ids", IN_MATCHES, "SELECT event_id, ts, service FROM ev WHERE event_id IN (SELECT event_id FROM matched)")
@@ -448,8 +453,10 @@ FROM (SELECT *, CASE
         WHEN n % 29 = 0 THEN 'target_mismatch'
         WHEN n % 31 = 0 THEN 'outside_window'
         WHEN n % 43 = 0 THEN 'ends_after_experiment'
+        WHEN n % 53 = 0 THEN 'conflicting_run'
         WHEN n % 23 = 0 THEN 'step_contract_mismatch' END AS rejection
-      FROM runs)""")
+      FROM runs)
+UNION ALL SELECT 'EXP-none-' || n, 'RUN-' || n, false, 'unknown_experiment', NULL, runner_status FROM runs WHERE n % 47 = 0""")
 oracle("run_status_rollup", RUNS,
        "SELECT experiment_id, CASE WHEN ground_truth_valid THEN 'completed' ELSE 'partial' END AS overall_status FROM runs")
 oracle("cidr_hosts", EV + """,
@@ -503,8 +510,8 @@ oracle("latency_stats", ",".join([SCORED, COHORT, MEASURED]),
        f"SELECT evaluation_config_fingerprint, measurement, {_stats('sample')} FROM measured GROUP BY 1, 2")
 oracle("scenario_measurements", ",".join([SCORED, COHORT, MEASURED]),
        f"SELECT evaluation_config_fingerprint, scenario_id, measurement, {_stats('sample')} FROM measured GROUP BY 1, 2, 3")
-_JOINED = "FROM samples s JOIN cohort c USING (experiment_id)"
-_MISSING = "count(*) FILTER (sample IS NULL) AS missing_or_invalid_count"
+_JOINED = "FROM cohort c LEFT JOIN samples s USING (experiment_id)"
+_MISSING = "count(*) FILTER (event_id IS NOT NULL AND sample IS NULL) AS missing_or_invalid_count"
 oracle("ingestion_stats", ",".join([SCORED, COHORT, SAMPLES]),
        f"SELECT fingerprint AS evaluation_config_fingerprint, {_stats('sample', 'sample_count')}, {_MISSING} {_JOINED} GROUP BY 1")
 oracle("ingestion_stats_by_scenario", ",".join([SCORED, COHORT, SAMPLES]),
@@ -558,11 +565,6 @@ oracle("evaluation_counts", SCORED, """
 SELECT count(*) FILTER (status = 'cancelled') AS cancelled_experiments,
        count(*) FILTER (status = 'completed' AND fingerprint IS NULL) AS excluded_incomplete_count FROM scored""")
 oracle("export_rows", SCORED, f"SELECT {', '.join(EXPORT_COLUMNS)} FROM scored WHERE status = 'completed'")
-oracle("measurement_status", SCORED, """
-SELECT 'detection_evaluation' AS topic, 'MEASURED' AS status UNION ALL SELECT 'ingestion_latency', 'MEASURED'
-UNION ALL SELECT 'observed_event_rate', 'MEASURED' UNION ALL SELECT 'resource_utilization', 'MEASURED'
-UNION ALL SELECT 'host_clock_provenance', 'NOT_MEASURED' UNION ALL SELECT 'ingestion_completeness', 'NOT_MEASURED'""")
-
 # Quality --------------------------------------------------------------------------------------
 
 IDS = """
@@ -582,7 +584,7 @@ oracle("present_ids", ",".join([EV, REASONED, IDS]), "SELECT event_id FROM ids W
 RESOURCES = """
 resources AS (
   SELECT 'host-' || (user_id % 3) AS host_label, service AS container_name, k,
-         CASE WHEN k <> 5 THEN value END AS cpu, CASE WHEN k <> 9 THEN CAST(user_id * 1000 + k AS DOUBLE) END AS mem, k / 4 AS memp
+         k <> 5 AS cpu_read, CASE WHEN k NOT IN (5, 7, 11) THEN value END AS cpu, CASE WHEN k <> 9 THEN CAST(user_id * 1000 + k AS DOUBLE) END AS mem, k / 4 AS memp
   FROM ev WHERE k <> 3)"""
 
 
@@ -593,16 +595,25 @@ def _resource(column: str, name: str) -> str:
 
 oracle("resource_summary", ",".join([EV, RESOURCES]), f"""
 SELECT host_label, container_name, {_resource('cpu', 'cpu_percent')}, {_resource('mem', 'memory_usage_bytes')},
-       {_resource('memp', 'memory_percent')}, greatest(count(cpu), count(mem), count(memp)) AS sample_count
+       {_resource('memp', 'memory_percent')}, greatest(count(*) FILTER (cpu_read), count(mem), count(memp)) AS sample_count
 FROM resources GROUP BY 1, 2""")
 oracle("invalid_samples", EV, "SELECT count(*) FILTER (k IN (3, 5, 9)) AS invalid_samples FROM ev")
 oracle("container_stats", EV, """
 SELECT event_id AS "timestamp", 'host-1' AS host_label, service AS container_name,
-       CASE WHEN k <> 0 THEN k / 2 END AS cpu_percent,
+       k / 2 AS cpu_percent,
        CAST(round_even((k + 0.5) * 1048576, 0) AS BIGINT) AS memory_usage_bytes, CAST(2147483648 AS BIGINT) AS memory_limit_bytes,
        CAST(k AS DOUBLE) AS memory_percent, CAST(k * 1000 AS BIGINT) AS network_rx_bytes, CAST(3250000 AS BIGINT) AS network_tx_bytes,
        CAST(k AS BIGINT) AS block_read_bytes, CAST(1000000000 AS BIGINT) AS block_write_bytes, CAST(k AS BIGINT) AS pids
-FROM ev WHERE k <> 7""")
+FROM ev WHERE k NOT IN (0, 7)""")
+oracle("unreadable_stats", EV, "SELECT 'host-1' AS host_label, count(*) AS unreadable FROM ev WHERE k IN (0, 7) HAVING count(*) > 0")
+oracle("measurement_status", ",".join([SCORED, COHORT, SAMPLES, RESOURCES]), """
+SELECT topic, CASE WHEN n > 0 THEN 'MEASURED' ELSE 'NOT_MEASURED' END AS status FROM (
+  SELECT 'detection_evaluation' AS topic, (SELECT count(*) FROM cohort WHERE result IN ('TP', 'FN', 'FP', 'TN')) AS n
+  UNION ALL SELECT 'ingestion_latency', (SELECT count(sample) FROM samples JOIN cohort USING (experiment_id))
+  UNION ALL SELECT 'observed_event_rate', (SELECT count(rate) FROM cohort)
+  UNION ALL SELECT 'resource_utilization', (SELECT count(*) FROM resources)
+  UNION ALL SELECT 'host_clock_provenance', (SELECT count(*) FROM resources WHERE host_label IS NULL)
+  UNION ALL SELECT 'ingestion_completeness', (SELECT count(*) FROM ev WHERE event_id IS NULL))""")
 
 # Streams --------------------------------------------------------------------------------------
 

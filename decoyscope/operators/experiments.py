@@ -57,7 +57,7 @@ def match_events(
     )
     joined = interval_join(
         event_points(events), windows, ["attacker_ip", "target_ip"], "ts", "start_time", "end_time",
-        settings.match_slot_seconds, settings.spread, ["event_id"],
+        settings.match_slot_seconds, settings.spread, ["event_id"], few_intervals=True,
     )
     targets = F.coalesce("target_honeypots", F.array().cast(_NO_TEXT))
     return joined.where((F.size(targets) == 0) | F.array_contains(targets, F.col("service"))).select(
@@ -88,15 +88,21 @@ def overlapping_sessions(experiments: DataFrame, sessions: DataFrame, settings:
     return starts_inside.unionByName(covers_start)
 
 
-def link_sessions(matched: DataFrame, membership: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+# Run column that link_sessions expects on matched rows.
+LINK_COLUMNS = ("attacker_ip",)
+
+
+def link_sessions(matched: DataFrame, sessions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Distinct (experiment_id, session_id) whose sessions hold a matched event.
 
-    `membership` is (event_id, session_id); an id stored twice keeps every session it is in. While
-    the matched ids are few, Spark broadcasts them and the membership table is only filtered.
+    Sessions of a source do not overlap, so a matched event lies in the one that spans its time; no
+    event has to be labelled with its session, and ids may repeat. `matched` carries LINK_COLUMNS.
     """
-    pairs = matched.select("experiment_id", "event_id")
-    member = membership.select("event_id", "session_id")
-    linked = spread_lookup(pairs, member, ["event_id"], ["experiment_id"], settings.spread)
+    instants = matched.select("experiment_id", F.col("run_attacker_ip").alias("source_ip"), "ts").distinct()
+    spans = sessions.select("session_id", "source_ip", "start_time", "end_time")
+    linked = interval_join(
+        instants, spans, ["source_ip"], "ts", "start_time", "end_time", settings.match_slot_seconds, settings.spread, ["experiment_id", "ts"]
+    )
     return linked.select("experiment_id", "session_id").distinct()
 
 
@@ -200,7 +206,7 @@ def _detection_metrics(found: DataFrame, experiments: DataFrame) -> DataFrame:
 def correlate(
     experiments: DataFrame,
     events: DataFrame,
-    membership: DataFrame,
+    sessions: DataFrame,
     detections: DataFrame,
     scientific: bool = True,
     settings: Settings = DEFAULTS,
@@ -215,8 +221,8 @@ def correlate(
     arrays; the unbounded event ids are the long-form `experiment_events`.
     """
     settled = F.coalesce(F.col("telemetry_settled"), F.lit(True)) if scientific else F.lit(True)
-    matched = materialize(match_events(experiments.where(settled), events, settings, carry=STEP_COLUMNS), "matched")
-    links = materialize(link_sessions(matched, membership, settings), "links")
+    matched = materialize(match_events(experiments.where(settled), events, settings, carry=(*STEP_COLUMNS, *LINK_COLUMNS)), "matched")
+    links = materialize(link_sessions(matched, sessions, settings), "links")
     found = link_detections(links, detections, settings)
     linked = links.groupBy("experiment_id").agg(
         F.count("*").alias("linked_session_count"), F.array_sort(F.collect_list("session_id")).alias("session_ids")
@@ -366,7 +372,8 @@ def check_ground_truth(runs: DataFrame, experiments: DataFrame) -> DataFrame:
     services = F.coalesce(F.col("scenario_step_services"), F.array().cast(_NO_TEXT))
     contract = F.transform(services, lambda s, i: F.struct((i + 1).cast("int").alias("step"), s.alias("service")))
     submitted = runs.select("experiment_id", F.col("run_id").alias("_run_id"), F.struct(*runs.columns).alias("run"))
-    joined = spread_lookup(submitted, experiments, ["experiment_id"], ["_run_id"], DEFAULTS.spread)
+    known = experiments.withColumn("_known", F.lit(True))
+    joined = spread_lookup(submitted, known, ["experiment_id"], ["_run_id"], DEFAULTS.spread, how="left")
     run = F.col("run")
     malformed = (
         ~F.coalesce(run["overall_status"].isin(*RUN_STATUSES), F.lit(False))
@@ -384,6 +391,7 @@ def check_ground_truth(runs: DataFrame, experiments: DataFrame) -> DataFrame:
         return ~left.eqNullSafe(F.col(right))
 
     checks = [
+        F.when(F.col("_known").isNull(), "unknown_experiment"),
         F.when(malformed, "malformed_submission"),
         F.when(~F.coalesce(F.col("status").isin("running", "correlating"), F.lit(False)), "not_accepting"),
         F.when(differs(run["scenario_id"], "scenario_id") | differs(run["scenario_manifest_sha256"], "scenario_manifest_sha256"), "scenario_mismatch"),

@@ -89,8 +89,17 @@ def completeness(ids: DataFrame, events: DataFrame) -> DataFrame:
 def decode_container_stats(lines: DataFrame) -> DataFrame:
     """Container-stats JSON lines (value, host_label, timestamp) as numeric resource samples.
 
-    Rows whose quantities cannot be read are dropped, as the sampler skips them.
+    Rows with a quantity, share or count that cannot be read are left out; see unreadable_container_stats.
     """
+    return _container_stats(lines).where("readable").select(*RESOURCE_FIELDS)
+
+
+def unreadable_container_stats(lines: DataFrame) -> DataFrame:
+    """How many container-stats lines of each host could not be read."""
+    return _container_stats(lines).where("NOT readable").groupBy("host_label").agg(F.count("*").alias("unreadable"))
+
+
+def _container_stats(lines: DataFrame) -> DataFrame:
     item = F.from_json("value", CONTAINER_STATS)
 
     def side(name: str, index: int) -> Column:
@@ -111,9 +120,9 @@ def decode_container_stats(lines: DataFrame) -> DataFrame:
         F.col("item.PIDs").try_cast("bigint").alias("pids"),
     )
     readable = F.lit(True)
-    for name in ("memory_usage_bytes", "memory_limit_bytes", "network_rx_bytes", "network_tx_bytes", "block_read_bytes", "block_write_bytes"):
+    for name in RESOURCE_FIELDS[3:]:
         readable = readable & F.col(name).isNotNull()
-    return stats.where(readable).select(*RESOURCE_FIELDS)
+    return stats.withColumn("readable", readable)
 
 
 RESOURCE_MEASURES = ("cpu_percent", "memory_usage_bytes", "memory_percent")
@@ -141,8 +150,10 @@ def resource_summary(samples: DataFrame) -> DataFrame:
         for stat in ("count", "mean", "max", "p95"):
             columns.append(F.max(F.when(F.col("measure") == name, F.col(stat))).alias(f"{name}_{stat}"))
     wide = stats.groupBy(*keys).agg(*columns)
-    sample_count = F.greatest(*[F.col(f"{name}_count") for name in RESOURCE_MEASURES])
-    return wide.withColumn("sample_count", sample_count)
+    # Every readable cell is a sample, also one that is infinite or not a number and so in no mean.
+    read = _cells(samples.where(_labelled())).groupBy(*keys, "measure").agg(F.count("number").alias("_read"))
+    most = read.groupBy(*keys).agg(F.max("_read").alias("sample_count"))
+    return wide.join(most, keys)
 
 
 def invalid_samples(samples: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ SENSOR_IP = "192.168.50.10"
 SENSOR_ID = "sensor-01"
 SERVICES = ("cowrie", "camera", "iot-service", "mqtt", "router")
 MQTT_OPERATIONS = ("connect", "subscribe", "publish", "ping")
-USERS = 150
 DAY_SECONDS = 86_400
 
 
@@ -195,7 +194,7 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(control, "control").otherwise("attack").alias("trial_kind"),
         F.when(~control, _pick(DETECTION_TYPES, key % 8)).alias("expected_detection"),
         F.when(key % 17 == 0, "cancelled").otherwise("completed").alias("status"),
-        source_address(key % USERS).alias("attacker_ip"),
+        source_address(F.floor(key / 10)).alias("attacker_ip"),
         F.lit(SENSOR_IP).alias("target_ip"),
         F.when(key % 3 == 0, F.array().cast("array<string>"))
         .otherwise(F.array(F.lit("cowrie"), F.lit("camera"), F.lit("mqtt"))).alias("target_honeypots"),

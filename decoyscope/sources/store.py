@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from decoyscope.operators.evaluation import export_rows
 from decoyscope.plans.skew import latest_per_key
-from decoyscope.plans.tables import materialize
+from decoyscope.plans.tables import Scratch, delete_path
 from decoyscope.schemas import GROUND_TRUTH, RESOURCE_CSV
 
 
@@ -35,19 +35,47 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*known, *[name for name in df.columns if name not in names])
 
 
-def append_daily(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("event_date").parquet(path)
+def stream_writer(batch: DataFrame) -> str:
+    """The running stream's id, which lives in its checkpoint: the same after a restart, another for every other stream."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Idempotent append of one micro-batch: replaying a batch id replaces exactly its own files."""
+def write_batch(df: DataFrame, path: str, batch_id: int, writer: str) -> None:
+    """Idempotent append of one micro-batch: replaying a writer's batch replaces exactly that batch's files.
+
+    Batch ids begin at 0 in every stream, so the writer is part of the partition: several streams, or a
+    stream that begins anew with a new checkpoint, share a table without touching each other's rows.
+    """
     (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        df.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")})
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch_id").parquet(path)
+        .partitionBy("event_date", "writer", "batch_id").parquet(path)
     )
 
 
+def compact_days(spark: SparkSession, path: str, schema: T.StructType, one_row: Callable[[DataFrame], DataFrame], days: DataFrame) -> None:
+    """Rewrite whole days of a batch table as one partition each, one row per key, and drop the merged partitions.
+
+    `one_row` reduces copies; `days` has a column event_date of days that no stream writes any more. Readers that
+    look between the write and the removal see copies, which they reduce anyway; a repeat after a failure ends the same.
+    """
+    wanted = [row.day for row in days.select(F.date_format("event_date", "yyyy-MM-dd").alias("day")).distinct().collect()]  # a list of days
+    full = T.StructType([*schema.fields, T.StructField("writer", T.StringType()), T.StructField("batch_id", T.LongType())])
+    for day in wanted:
+        held = read_or_empty(spark, path, full).where(F.col("event_date") == F.lit(day).cast("date"))
+        parts = [(row.writer, row.batch_id) for row in held.select("writer", "batch_id").distinct().collect()]
+        if len(parts) < 2:
+            continue
+        with Scratch(spark) as keep:
+            merged = keep(one_row(held.select(*schema.fieldNames())), "day")
+            write_batch(merged, path, max(batch for writer, batch in parts if writer == COMPACTED) + 1 if COMPACTED in dict(parts) else 0, COMPACTED)
+        for writer, batch in parts:
+            delete_path(spark, f"{path.rstrip('/')}/event_date={day}/writer={writer}/batch_id={batch}")
+
+
+COMPACTED = "compacted"
+
+
 def upsert(
     spark: SparkSession,
     new: DataFrame,
@@ -68,18 +96,26 @@ def upsert(
     changes = new.select(*names, day, F.lit(1).alias("_version"), F.lit(True).alias("_keep"))
     if stale is not None:
         changes = changes.unionByName(stale.select(*names, day, F.lit(0).alias("_version"), F.lit(False).alias("_keep")))
-    changes = materialize(changes, "upsert")
-    stored = read_or_empty(spark, path, T.StructType([*schema.fields, T.StructField("day", T.DateType())]))
-    touched = stored.join(changes.select("day").distinct(), "day", "left_semi")
-    previous = touched.select(*names, "day", F.lit(-1).alias("_version"), F.lit(True).alias("_keep"))
-    merged = latest_per_key(previous.unionByName(changes), ["day", key], ["_version"]).where("_keep").drop("_version", "_keep")
-    # A written table first, then the swap: a day that lost all its rows is emptied as well.
-    merged = materialize(merged, "merged")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-    emptied = changes.select("day").distinct().join(merged.select("day").distinct(), "day", "left_anti")
-    for row in emptied.toLocalIterator():  # days without any row left, rarely more than one
-        blank = spark.createDataFrame([], schema)
-        blank.write.mode("overwrite").parquet(f"{path.rstrip('/')}/day={row.day}")
+    with Scratch(spark) as keep:
+        changes = keep(changes, "upsert")
+        text = F.date_format("day", "yyyy-MM-dd").alias("day")
+        days = [row.day for row in changes.select(text).distinct().collect()]  # the days of one batch
+        # Days as literals: only their partitions are listed and read.
+        touched = read_days(spark, path, schema).where(F.col("day").isin([F.lit(day).cast("date") for day in days]))
+        previous = touched.select(*names, "day", F.lit(-1).alias("_version"), F.lit(True).alias("_keep"))
+        merged = latest_per_key(previous.unionByName(changes), ["day", key], ["_version"]).where("_keep").drop("_version", "_keep")
+        # A written table first, then the swap: a day that lost all its rows is emptied as well.
+        merged = keep(merged, "merged")
+        left = {row.day for row in merged.select(text).distinct().collect()}
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        for day in set(days) - left:
+            blank = spark.createDataFrame([], schema)
+            blank.write.mode("overwrite").parquet(f"{path.rstrip('/')}/day={day}")
+
+
+def read_days(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A keyed table with its partition column `day`."""
+    return read_or_empty(spark, path, T.StructType([*schema.fields, T.StructField("day", T.DateType())]))
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:

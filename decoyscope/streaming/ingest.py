@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from decoyscope.operators.ingest import dead_letters, dedupe_events, normalize, valid_events
-from decoyscope.sources.store import write_batch
+from decoyscope.sources.store import stream_writer, write_batch
 
 
 def distinct_stream(events: DataFrame, within: str) -> DataFrame:
@@ -33,16 +33,18 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Route every line to exactly one of two daily-partitioned tables.
 
-    A batch is normalized once and written twice; both writes replace only their own batch id, so
-    a batch that is replayed after a failure leaves no copies.
+    A batch is normalized once and written twice; both writes replace only this stream's own batch, so
+    a batch that is replayed after a failure leaves no copies and any number of sensor inputs, each a
+    stream of its own, can share the two tables.
     """
     normalized = normalize(lines, observer=observer)
 
     def route(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
+        writer = stream_writer(batch)
         try:
-            write_batch(dedupe_events(valid_events(batch)), events_path, batch_id)
-            write_batch(dead_letters(batch), letters_path, batch_id)
+            write_batch(dedupe_events(valid_events(batch)), events_path, batch_id, writer)
+            write_batch(dead_letters(batch), letters_path, batch_id, writer)
         finally:
             batch.unpersist()
 

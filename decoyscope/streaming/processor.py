@@ -5,25 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from decoyscope.operators.detections import detect, keep_first_seen
 from decoyscope.operators.ingest import dedupe_events
 from decoyscope.operators.sessions import build_sessions, external_events
-from decoyscope.plans.tables import materialize
+from decoyscope.plans.tables import Scratch
 from decoyscope.schemas import DETECTION, EVENT, SESSION
 from decoyscope.settings import DEFAULTS, Settings
-from decoyscope.sources.store import read_or_empty, upsert, write_batch
+from decoyscope.sources.store import compact_days, read_days, read_or_empty, stream_writer, upsert, write_batch
 
 
 @dataclass(frozen=True)
 class Store:
-    """Paths of the four tables of one deployment."""
+    """Paths of the tables of one deployment.
+
+    Ingest streams write `raw_events`, which the processor only reads; `events` is the processor's own.
+    """
 
     root: str
 
+    @property
+    def raw_events(self) -> str:
+        return f"{self.root}/raw_events"
+
     @property
     def events(self) -> str:
         return f"{self.root}/events"
@@ -46,6 +54,12 @@ def read_events(spark: SparkSession, store: Store) -> DataFrame:
     return dedupe_events(read_or_empty(spark, store.events, EVENT))
 
 
+def compact_events(spark: SparkSession, store: Store, before: Column) -> None:
+    """One partition and one row per (day, id) for every stored day before the given date."""
+    days = read_or_empty(spark, store.events, EVENT).select("event_date").where(F.col("event_date") < before).distinct()
+    compact_days(spark, store.events, EVENT, dedupe_events, days)
+
+
 def rebuild_horizons(batch: DataFrame, sessions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(source_ip, horizon): from where each touched source has to be read again.
 
@@ -69,32 +83,40 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: S
     Every step is a function of the stored tables and the batch id, so a replay gives the same
     rows; sessions that late events merged away leave the tables.
     """
-    write_batch(dedupe_events(batch), store.events, batch_id)
-    sessions = read_or_empty(spark, store.sessions, SESSION)
-    horizons = materialize(rebuild_horizons(batch, sessions, settings), "horizons")
-    first = horizons.agg(F.min("horizon").alias("t")).first().t
-    if first is None:
-        return {"sessions": 0, "detections": 0}
-    recent = read_or_empty(spark, store.events, EVENT).where(F.col("event_date") >= F.lit(first.date()))
-    affected = dedupe_events(
-        recent.join(horizons, F.col("source.ip") == F.col("source_ip"))
-        .where(F.col("ts") >= F.col("horizon"))
-        .select(*EVENT.fieldNames())
-    )
-    rebuilt = materialize(build_sessions(affected, settings), "sessions")
-    stored_detections = read_or_empty(spark, store.detections, DETECTION)
-    found = keep_first_seen(detect(rebuilt, settings=settings), stored_detections)
-
-    def replaced(table: DataFrame, start: str) -> DataFrame:
-        names = table.columns
-        return table.join(horizons, "source_ip").where(F.col(start) >= F.col("horizon")).select(*names)
-
-    stale_sessions = replaced(sessions, "start_time")
-    stale_detections = replaced(stored_detections, "session_start")
-    found = materialize(found, "detections")
-    upsert(spark, found, store.detections, DETECTION, "detection_id", "session_start", stale_detections)
-    upsert(spark, rebuilt, store.sessions, SESSION, "session_id", "start_time", stale_sessions)
-    return {"sessions": rebuilt.count(), "detections": found.count()}
+    write_batch(dedupe_events(batch), store.events, batch_id, stream_writer(batch))
+    timeout = F.make_dt_interval(secs=F.lit(float(settings.session_timeout_seconds)))
+    with Scratch(spark) as keep:
+        # Literals, computed by Spark in its own time zone: they prune partitions and row groups.
+        reach = external_events(batch).agg(_instant(F.min("ts") - timeout).alias("t")).first().t
+        if reach is None:
+            return {"sessions": 0, "detections": 0}
+        open_sessions = read_or_empty(spark, store.sessions, SESSION).where(F.col("end_time") >= F.lit(reach).cast("timestamp"))
+        horizons = keep(rebuild_horizons(batch, open_sessions, settings), "horizons")
+        first_day = F.lit(horizons.agg(F.date_format(F.min("horizon"), "yyyy-MM-dd").alias("d")).first().d).cast("date")
+        recent = read_or_empty(spark, store.events, EVENT).where(F.col("event_date") >= first_day)
+        affected = dedupe_events(
+            recent.join(horizons, F.col("source.ip") == F.col("source_ip"))
+            .where(F.col("ts") >= F.col("horizon"))
+            .select(*EVENT.fieldNames())
+        )
+        rebuilt = keep(build_sessions(affected, settings), "sessions")
+
+        def replaced(path: str, schema: StructType, start: str) -> DataFrame:
+            """Stored rows of touched sources from their horizon on; older days are not read."""
+            recent_days = read_days(spark, path, schema).where(F.col("day") >= first_day)
+            return recent_days.join(horizons, "source_ip").where(F.col(start) >= F.col("horizon")).select(*schema.fieldNames())
+
+        stale_sessions = keep(replaced(store.sessions, SESSION, "start_time"), "stale-sessions")
+        stale_detections = keep(replaced(store.detections, DETECTION, "session_start"), "stale-detections")
+        found = keep(keep_first_seen(detect(rebuilt, settings=settings), stale_detections), "detections")
+        upsert(spark, found, store.detections, DETECTION, "detection_id", "session_start", stale_detections)
+        upsert(spark, rebuilt, store.sessions, SESSION, "session_id", "start_time", stale_sessions)
+        return {"sessions": rebuilt.count(), "detections": found.count()}
+
+
+def _instant(ts: Column) -> Column:
+    """A time as text with its offset, which reads back as the same instant on any driver."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
 
 
 def process_stream(

@@ -1,19 +1,25 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import shutil
+import time
+from pathlib import Path
 
+import pytest
 from conftest import at, make_events
 from pyspark.sql import functions as F
 
 from decoyscope.operators.detections import detect
+from decoyscope.operators.ingest import dedupe_events
 from decoyscope.operators.sessions import build_sessions
 from decoyscope.schemas import DEAD_LETTER, DETECTION, EVENT, SESSION
 from decoyscope.sources.jsonl import stream_lines
 from decoyscope.sources.store import read_or_empty
 from decoyscope.streaming.ingest import ingest_stream
 from decoyscope.streaming.panels import run_metrics, settle_watch
-from decoyscope.streaming.processor import Store, process_batch, process_stream, read_events
+from decoyscope.streaming.processor import Store, compact_events, process_batch, process_stream, read_events
 
 LINE = {
     "timestamp": "2026-01-01T10:00:00Z", "event_id": "e1", "category": "network", "type": "info", "action": "connect", "outcome": "unknown",
@@ -28,7 +34,7 @@ def test_every_line_reaches_exactly_one_table(spark, tmp_path):
 
     def drain():
         lines = stream_lines(spark, str(logs), "s-1", "192.168.50.10")
-        query = ingest_stream(lines, store.events, store.dead_letters, str(tmp_path / "progress"), available_now=True)
+        query = ingest_stream(lines, store.raw_events, store.dead_letters, str(tmp_path / "progress"), available_now=True)
         query.awaitTermination()
         return query
 
@@ -36,7 +42,8 @@ def test_every_line_reaches_exactly_one_table(spark, tmp_path):
     drain()
     (logs / "b.jsonl").write_text("\n".join([json.dumps(LINE), json.dumps({**LINE, "event_id": "e3"})]))
     assert run_metrics(drain())["rows_read"] == 2
-    assert sorted(r.event.id for r in read_events(spark, store).collect()) == ["e1", "e3"]
+    raw = dedupe_events(read_or_empty(spark, store.raw_events, EVENT))
+    assert sorted(r.event.id for r in raw.collect()) == ["e1", "e3"]
     letters = read_or_empty(spark, store.dead_letters, DEAD_LETTER).collect()
     assert sorted(r.reason for r in letters) == ["invalid_event_category_", "json_parse_failure"]
 
@@ -86,3 +93,63 @@ def test_settle_watch_states(spark):
         return [r.state for r in settle_watch(runs, arrivals, F.lit(now)).orderBy("experiment_id").collect()]
 
     assert states(at(10)) == ["settled", "waiting", "waiting"] and states(at(25)) == ["settled", "settled", "timed_out"]
+
+
+def _ingest(spark, folder, store, progress, *lines):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{len(list(folder.iterdir()))}.jsonl").write_text("\n".join(json.dumps(line) for line in lines))
+    ingest_stream(stream_lines(spark, str(folder), folder.name, "192.0.2.10"), store.raw_events, store.dead_letters, str(progress), available_now=True).awaitTermination()
+
+
+def test_streams_and_new_checkpoints_share_a_table(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    _ingest(spark, tmp_path / "north", store, tmp_path / "p1", {**LINE, "event_id": "n1"})
+    _ingest(spark, tmp_path / "south", store, tmp_path / "p2", {**LINE, "event_id": "s1"})
+    shutil.rmtree(tmp_path / "p1")  # the same place, another stream
+    _ingest(spark, tmp_path / "north", store, tmp_path / "p1", {**LINE, "event_id": "n2"})
+    stored = read_or_empty(spark, store.raw_events, EVENT)
+    assert sorted(r.event.id for r in dedupe_events(stored).collect()) == ["n1", "n2", "s1"]
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/Los_Angeles"])
+def test_ingest_and_processor_on_one_store_in_any_driver_zone(spark, tmp_path, zone, monkeypatch):
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        store = Store(str(tmp_path / "store"))
+        for n, hour in enumerate((20, 23, 1)):
+            lines = [{**LINE, "event_id": f"{n}-{k}", "timestamp": f"2026-01-0{1 + (hour < 12)}T{hour:02d}:0{k}:00Z"} for k in range(4)]
+            _ingest(spark, tmp_path / "logs", store, tmp_path / "ingest", *lines)
+            events = spark.readStream.schema(EVENT).parquet(store.raw_events)
+            process_stream(events, store, str(tmp_path / "process"), available_now=True).awaitTermination()
+        raw = dedupe_events(read_or_empty(spark, store.raw_events, EVENT))
+        assert raw.count() == 12 and read_events(spark, store).count() == 12
+        stored = sorted((r.session_id, r.event_count) for r in read_or_empty(spark, store.sessions, SESSION).collect())
+        assert stored == sorted((r.session_id, r.event_count) for r in build_sessions(raw).collect()) and len(stored) == 3
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_batches_leave_no_scratch_and_read_recent_days_only(spark, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(os.listdir(shared))
+    store = Store(str(tmp_path / "store"))
+    for n in range(3):
+        process_batch(spark, make_events(spark, [{"id": f"{n}", "at": 200_000 * n}, {"id": f"{n}b", "at": 200_000 * n + 5}]), n, store)
+    assert set(os.listdir(shared)) == before
+    assert read_or_empty(spark, store.sessions, SESSION).count() == 3
+
+
+def test_compaction_leaves_one_partition_and_one_row_per_id(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    for n in range(4):
+        process_batch(spark, make_events(spark, [{"id": "same", "at": 0, "seen": n + 1}, {"id": f"own{n}", "at": 10}]), n, store)
+    expected = sorted((r.event.id, r.event.ingested) for r in read_events(spark, store).collect())
+    for _ in range(2):
+        compact_events(spark, store, F.lit("2027-01-01").cast("date"))
+        stored = read_or_empty(spark, store.events, EVENT)
+        assert sorted((r.event.id, r.event.ingested) for r in stored.collect()) == expected and len(expected) == 5
+    process_batch(spark, make_events(spark, [{"id": "late", "at": 20}]), 9, store)
+    compact_events(spark, store, F.lit("2027-01-01").cast("date"))
+    assert read_or_empty(spark, store.events, EVENT).count() == 6
