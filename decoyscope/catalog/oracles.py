@@ -394,6 +394,9 @@ oracle("dead_letters", ",".join([EV, REASONED]), """
 SELECT ingested AS seen_at, CASE WHEN reason = 'json_parse_failure' THEN 'parse_failure' ELSE 'validation_failure' END AS tags,
        reason, 'sensor-01' AS sensor_id, CAST(CASE WHEN reason = 'json_parse_failure' THEN ingested ELSE ts END AS DATE) AS day
 FROM verdicts WHERE reason IS NOT NULL""")
+oracle("scan_sensor_files", ",".join([EV, REASONED]), """
+SELECT kept_id AS event_id, ts, kept_category AS category, kept_action AS action, source_ip, protocol, service, honeypot
+FROM verdicts WHERE reason IS NULL""")
 oracle("dead_letter_reasons", ",".join([EV, REASONED]),
        "SELECT reason, count(*) AS count FROM verdicts WHERE reason IS NOT NULL GROUP BY 1")
 oracle("normalize_lenient", EV, """
@@ -618,6 +621,7 @@ SELECT topic, CASE WHEN n > 0 THEN 'MEASURED' ELSE 'NOT_MEASURED' END AS status
 # Streams --------------------------------------------------------------------------------------
 
 oracle("stream_distinct_events", EV, "SELECT event_id, ts, service FROM ev")
+oracle("stream_rebuild_sessions", IN_SESSIONS, "SELECT session_id, source_ip, start_time, end_time, duration, event_count FROM sess")
 oracle("stream_histogram", EV, """
 SELECT bucket, count(*) AS count FROM (SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS bucket FROM ext)
 WHERE bucket + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM ext) GROUP BY 1""")

@@ -28,6 +28,7 @@ from decoyscope.plans.skew import latest_per_key
 from decoyscope.plans.tables import materialize, shared_folder
 from decoyscope.settings import Settings, configure
 from decoyscope.sources import driver_tables as G
+from decoyscope.sources.jsonl import read_sensor_lines
 from decoyscope.streaming import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,8 +109,9 @@ def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, scientific: bool = True) -> DataFrame:
+    sessions = materialize(_sessions(spark, sf_dir), "sessions")
     return X.correlate(
-        _runs(spark, sf_dir), _events(spark, sf_dir), _sessions(spark, sf_dir), _detections(spark, sf_dir), scientific, SETTINGS,
+        _runs(spark, sf_dir), _events(spark, sf_dir), sessions, D.detect(sessions, _seen_later(), SETTINGS), scientific, SETTINGS,
     )
 
 
@@ -230,7 +232,7 @@ def detection_evidence(spark, sf_dir):
 @query
 def first_seen_kept(spark, sf_dir):
     """A second processing cycle: detections already stored keep their first time."""
-    sessions = _sessions(spark, sf_dir)
+    sessions = materialize(_sessions(spark, sf_dir), "sessions")
     stored = D.detect(sessions, F.col("end_time"), SETTINGS).where("severity <> 'high'")
     again = D.detect(sessions, _seen_later(), SETTINGS)
     return D.keep_first_seen(again, stored).select("detection_id", "severity", "detected_at")
@@ -329,13 +331,15 @@ def matrix_intensity(spark, sf_dir):
 
 @query
 def totals(spark, sf_dir):
-    return A.totals(_external(spark, sf_dir), _sessions(spark, sf_dir), _detections(spark, sf_dir))
+    sessions = materialize(_sessions(spark, sf_dir), "sessions")
+    return A.totals(_external(spark, sf_dir), sessions, D.detect(sessions, _seen_later(), SETTINGS))
 
 
 @query
 def table_counts(spark, sf_dir):
+    sessions = materialize(_sessions(spark, sf_dir), "sessions")
     return A.table_counts(
-        events=_events(spark, sf_dir), sessions=_sessions(spark, sf_dir), detections=_detections(spark, sf_dir),
+        events=_events(spark, sf_dir), sessions=sessions, detections=D.detect(sessions, _seen_later(), SETTINGS),
         experiments=_runs(spark, sf_dir), dead_letters=I.dead_letters(_normalized(spark, sf_dir)),
     )
 
@@ -502,6 +506,21 @@ def classify_interactions(spark, sf_dir):
     )
 
 
+@query
+def scan_sensor_files(spark, sf_dir):
+    """The lines as files, one folder per sensor input, read back with each folder's columns and validated."""
+    root = f"{shared_folder(spark).rstrip('/')}/inputs-{uuid.uuid4().hex}"
+    lines = G.sensor_lines(spark, sf_dir)
+    kind = F.when(F.col("honeypot_id").isNull(), "other").otherwise("cowrie")
+    lines.select(kind.alias("input"), "value").write.partitionBy("input").text(root)
+    folder = lambda name: F.lit(root.split(":", 1)[-1].replace("///", "/") + f"/input={name}")
+    sensors = lines.select(kind.alias("input"), "sensor_id", "sensor_ip", "honeypot_id", "honeypot_type").distinct()
+    sensors = sensors.select(F.when(F.col("input") == "cowrie", folder("cowrie")).otherwise(folder("other")).alias("directory"), *sensors.columns[1:])
+    read = read_sensor_lines(spark, f"{root}/input=*", sensors)
+    events = I.valid_events(I.normalize(read, observer="observer-01"))
+    return _eventual(events).select("event_id", "ts", "category", "action", "source_ip", "protocol", "service", "honeypot")
+
+
 # Experiments ----------------------------------------------------------------------------------
 
 
@@ -809,6 +828,24 @@ def stream_distinct_events(spark, sf_dir):
     return _eventual(_run_to_end(spark, distinct_stream(events.unionByName(events), "1 day"), "distinct")).select("event_id", "ts", "service")
 
 
+@query
+def stream_rebuild_sessions(spark, sf_dir):
+    """The events table through the incremental processor, in two micro-batches, late rows included."""
+    from decoyscope.schemas import SESSION
+    from decoyscope.sources.store import read_or_empty
+    from decoyscope.streaming.processor import Store, process_stream
+
+    root = f"{shared_folder(spark).rstrip('/')}/processor-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("event.id"), F.lit(2))
+    store, events = Store(f"{root}/store"), _events(spark, sf_dir)
+    schema = events.schema
+    for n in range(2):
+        events.where(part == n).write.mode("append").parquet(f"{root}/arrivals")
+        arrivals = spark.readStream.schema(schema).parquet(f"{root}/arrivals")
+        process_stream(arrivals, store, f"{root}/progress", SETTINGS, available_now=True).awaitTermination()
+    return read_or_empty(spark, store.sessions, SESSION).select("session_id", "source_ip", "start_time", "end_time", "duration", "event_count")
+
+
 @query
 def stream_histogram(spark, sf_dir):
     """Closed hourly buckets: those the watermark has passed."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decoyscope.functions.values import detection_key
-from decoyscope.plans.skew import spread_lookup
+from decoyscope.plans.skew import repeated_lookup
 from decoyscope.schemas import SCHEMA_VERSION
 from decoyscope.settings import DEFAULTS, Settings
 
@@ -105,7 +105,7 @@ def detection_evidence(labelled: DataFrame, detections: DataFrame, settings: Set
     flagged = [F.when(F.col(flag), F.lit(rule)) for rule, flag in FLAGGED_RULES.items()]
     candidates = F.array_compact(F.array(*[F.lit(rule) for rule in WHOLE_SESSION_RULES], *flagged))
     events = labelled.select("session_id", "ts", "event_id", candidates.alias("_rules"))
-    joined = spread_lookup(events, fired, ["session_id"], ["event_id"], settings.spread)
+    joined = repeated_lookup(events, fired, ["session_id"], ["event_id"], settings.spread)
     return (
         joined.withColumn("rule_id", F.explode(F.array_intersect("_rules", "_fired")))
         .select(

@@ -37,7 +37,7 @@ def sensor_ids(lines: DataFrame, start: datetime | None = None, end: datetime |
         status = status.when(occurred.isNull(), "unmappable").when(outside, "filtered")
     status = status.when(identifier.isNull(), "unmappable").otherwise("mappable")
     return (
-        lines.where(F.trim("value") != "")
+        lines.where(F.col("value").rlike(r"\S"))
         .withColumn("_p", F.explode(F.array(parsed)))
         .select("_p.*")
         .select(status.alias("status"), F.when(status == "mappable", identifier).alias("event_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from decoyscope.functions.ip import is_loopback
 from decoyscope.functions.values import micros, seconds_between, session_key
-from decoyscope.plans.skew import slot, spread_column, spread_lookup
+from decoyscope.plans.skew import repeated_lookup, slot, spread_column
 from decoyscope.schemas import ACTIVE_MQTT_OPERATIONS, SCHEMA_VERSION, WEAK_CREDENTIALS
 from decoyscope.settings import DEFAULTS, Settings
 
@@ -193,7 +193,7 @@ def _distinct_paths(flat: DataFrame, settings: Settings) -> DataFrame:
     """Distinct web paths per session. Paths are chosen by the sender, so they are never gathered in a set."""
     starts = _session_slots(flat, settings.session_timeout_seconds)
     paths = flat.where("url IS NOT NULL").select("source_ip", "slot", "url").distinct()
-    placed = spread_lookup(paths, starts, ["source_ip", "slot"], ["url"], settings.spread)
+    placed = repeated_lookup(paths, starts, ["source_ip", "slot"], ["url"], settings.spread)
     return (
         placed.select("source_ip", F.col("session_start").alias("start_time"), "url")
         .distinct()

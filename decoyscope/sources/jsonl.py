@@ -34,7 +34,7 @@ def read_lines(
     honeypot_type: str | None = None,
 ) -> DataFrame:
     """Lines of one sensor input with the shipper's columns; blank lines are dropped."""
-    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths).where(F.trim("value") != "")
+    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths).where(F.col("value").rlike(r"\S"))
     return _with_sensor(lines, sensor_id, sensor_ip, honeypot_id, honeypot_type)
 
 
@@ -51,11 +51,25 @@ def stream_lines(
     lines = (
         spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
         .text(directory)
-        .where(F.trim("value") != "")
+        .where(F.col("value").rlike(r"\S"))
     )
     return _with_sensor(lines, sensor_id, sensor_ip, honeypot_id, honeypot_type)
 
 
+def read_sensor_lines(spark: SparkSession, paths: str | Sequence[str], sensors: DataFrame) -> DataFrame:
+    """Lines of many sensor inputs at once, each with the shipper's columns of the folder it lies in."""
+    return enrich_by_path(_with_path(spark.read.text(list(paths) if not isinstance(paths, str) else paths)), sensors)
+
+
+def stream_sensor_lines(spark: SparkSession, paths: str, sensors: DataFrame, max_files_per_trigger: int = 1000) -> DataFrame:
+    """The same as one stream over folders (a glob) that keep receiving files."""
+    return enrich_by_path(_with_path(spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(paths)), sensors)
+
+
+def _with_path(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("value").rlike(r"\S")).select("value", F.col("_metadata.file_path").alias("file_path"))
+
+
 def enrich_by_path(lines: DataFrame, sensors: DataFrame) -> DataFrame:
     """Shipper columns from a sensors table (directory, sensor_id, sensor_ip, honeypot_id, honeypot_type).
 
@@ -63,7 +77,7 @@ def enrich_by_path(lines: DataFrame, sensors: DataFrame) -> DataFrame:
     the table only while it is under the broadcast threshold.
     """
     directory = F.regexp_extract("file_path", r"^(?:[a-z]+:/*)?(/.*)/[^/]*$", 1)
-    return lines.withColumn("directory", directory).join(sensors, "directory", "left").drop("directory")
+    return lines.withColumn("directory", directory).join(sensors, "directory", "left").drop("directory", "file_path")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
