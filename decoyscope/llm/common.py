@@ -33,14 +33,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: keeps partitions and their order, survives lost executors, goes with its last reference."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def row_key(text: Column, *more: Column) -> Column:
     """Names a row by its content: rows that share it are equal in what an operator reads."""
     return F.xxhash64(F.coalesce(text, F.lit("")), *more)
