@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from decoyscope.functions.values import seconds_between
 from decoyscope.operators.sessions import is_internal, session_window_rollup
@@ -62,6 +65,60 @@ def settle_watch(runs: DataFrame, arrivals: DataFrame, now: datetime | Column, s
     )
 
 
+def settle_marks(arrivals: DataFrame, runs: DataFrame) -> DataFrame:
+    """Input of settle_stream: a mark per run at its end, and one per matched arrival.
+
+    `arrivals` has experiment_id, end_time and ingested, `runs` experiment_id and end_time; both are streams.
+    """
+    none = F.lit(None).cast("timestamp")
+    ends = runs.select("experiment_id", "end_time", none.alias("ingested"), F.col("end_time").alias("seen_at"))
+    return ends.unionByName(arrivals.where("ingested IS NOT NULL").select("experiment_id", "end_time", "ingested", F.col("ingested").alias("seen_at")))
+
+
+def settle_stream(marks: DataFrame, lateness: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """Each run once, when it settles or its time is up: (experiment_id, telemetry_settled, settle_wait_seconds).
+
+    One short state per run: its end, its last arrival and whether it was reported. A timer on the watermark
+    reports a run that has gone quiet or run out of time, and drops the state when the time limit is over.
+    """
+    quiet, limit = int(settings.settle_quiet_seconds * 1e6), int(settings.settle_timeout_seconds * 1e6)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        end, last, done = state.get if state.exists else (None, None, False)
+        watermark = state.getCurrentWatermarkMs() * 1000
+        wait = None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("seen_us")
+            for end_us, arrival in zip(rows["end_us"], rows["arrival_us"]):
+                end = int(end_us) if end is None else end
+                if done or wait is not None or pd.isna(arrival) or arrival - end > limit:
+                    continue
+                arrival = max(int(arrival), end)
+                if last is not None and arrival - last > quiet:
+                    wait = last + quiet - end
+                last = arrival if wait is None else last
+        due = end + limit if last is None else min(last + quiet, end + limit)
+        if not done and wait is None and due <= watermark:
+            wait = due - end
+        if wait is not None:
+            done = True
+            settled = last is not None and last + quiet <= end + limit
+            yield pd.DataFrame([(key[0], settled, (wait if settled else limit) / 1e6)], columns=["experiment_id", "telemetry_settled", "settle_wait_seconds"])
+        if done and end + limit <= watermark:
+            if state.exists:
+                state.remove()
+            return
+        state.update((end, last, done))
+        state.setTimeoutTimestamp(max((end + limit if done else due) // 1000, watermark // 1000) + 1)
+
+    micros_of = {name: F.unix_micros(column) for name, column in {"end_us": "end_time", "arrival_us": "ingested", "seen_us": "seen_at"}.items()}
+    keyed = marks.withWatermark("seen_at", lateness).withColumns(micros_of).select("experiment_id", "seen_at", *micros_of)
+    return keyed.groupBy("experiment_id").applyInPandasWithState(
+        advance, "experiment_id string, telemetry_settled boolean, settle_wait_seconds double", "end_us long, last_us long, done boolean",
+        "append", "EventTimeTimeout",
+    )
+
+
 def run_metrics(query: StreamingQuery) -> dict[str, object]:
     """Last run, rows read and last error of a running query."""
     progress = query.lastProgress

@@ -18,7 +18,7 @@ from decoyscope.schemas import DEAD_LETTER, DETECTION, EVENT, SESSION
 from decoyscope.sources.jsonl import stream_lines
 from decoyscope.sources.store import read_or_empty
 from decoyscope.streaming.ingest import ingest_stream
-from decoyscope.streaming.panels import run_metrics, settle_watch
+from decoyscope.streaming.panels import run_metrics, settle_stream, settle_watch
 from decoyscope.streaming.processor import Store, compact_events, process_batch, process_stream, read_events
 
 LINE = {
@@ -153,3 +153,31 @@ def test_compaction_leaves_one_partition_and_one_row_per_id(spark, tmp_path):
     process_batch(spark, make_events(spark, [{"id": "late", "at": 20}]), 9, store)
     compact_events(spark, store, F.lit("2027-01-01").cast("date"))
     assert read_or_empty(spark, store.events, EVENT).count() == 6
+
+
+def test_settle_stream_reports_every_run_once_as_the_batch_form_does(spark, tmp_path):
+    waits = {"a": [0.5, 2], "b": [], "c": [1, 3.5, 9, 20], "d": [2 * k for k in range(14)], "e": [-5, 24.5], "f": [26]}
+    schema = "experiment_id string, end_time timestamp, ingested timestamp, seen_at timestamp"
+    end = 100
+    marks = [(name, at(end), None, at(end)) for name in waits] + [(name, at(end), at(end + w), at(end + w)) for name, ws in waits.items() for w in ws]
+    marks.sort(key=lambda row: row[3])
+    marks.append(("z", at(1000), None, at(1000)))  # moves the watermark past all timers
+    for n in range(0, len(marks), 6):  # one file per micro-batch, in order of arrival
+        spark.createDataFrame(marks[n:n + 6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{n:03d}"))
+        os.utime(next((tmp_path / f"in{n:03d}").glob("part-*")), (1_000_000 + n, 1_000_000 + n))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    running = settle_stream(stream, "1 second").writeStream.format("memory").queryName("settled").outputMode("append")
+    running = running.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    running.awaitTermination()
+
+    def walk(ws):
+        last = None
+        for w in sorted(max(w, 0) for w in ws if w <= 25):
+            if last is not None and w - last > 3:
+                break
+            last = w
+        return (True, last + 3.0) if last is not None and last + 3 <= 25 else (False, 25.0)
+
+    rows = spark.table("settled").collect()
+    assert sorted((r.experiment_id, r.telemetry_settled, r.settle_wait_seconds) for r in rows) == sorted((name, *walk(ws)) for name, ws in waits.items())
+    assert running.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
