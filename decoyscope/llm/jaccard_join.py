@@ -38,6 +38,7 @@ WORDS = 5
 SIMILARITY = 75
 """Per cent of the union that a link's intersection has at least."""
 BITMAP = 2048
+BLOCK_BYTES = 4 << 20
 TILE = 2048
 """Sets that a tile's part has; a run of more is cut."""
 FIRST_PAIRS = 8
@@ -264,7 +265,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """One row per document: doc (`LAST` for null), row (hash of the text), n, and of its class the smallest doc and that document's row."""
     own = _named(docs.select(doc_id, text), doc_id, text).select("doc", "row", F.col(text).alias("text"))
     size = text_bytes(own)
-    blocks = dealt(own, size, F.col("doc"), F.col("row"))
+    blocks = dealt(own, size, F.col("doc"), F.col("row"), block_bytes=BLOCK_BYTES)
     told = corpus_counts(blocks, _count, size // 6, _rarity)
     sets = stored(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_prefixes, _SETS_DDL), "shingle-sets")
 

@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 """Texts are taken in chunks of about this size; a longer text is a chunk of its own."""
 
 _MASK = (1 << 64) - 1
