@@ -81,20 +81,21 @@ def test_first_failed_rule_is_the_reason_and_the_line_is_kept(spark):
 
 
 def test_lines_of_many_inputs_get_the_columns_of_their_folder(spark, tmp_path):
+    inputs = tmp_path / "inputs"
     for name in ("north", "south"):
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "today.jsonl").write_text("\n".join(json.dumps({**CUSTOM, "event_id": f"{name}-{k}"}) for k in range(2)) + "\n \t\n")
-    (tmp_path / "stray").mkdir()
-    (tmp_path / "stray" / "x.jsonl").write_text(json.dumps(CUSTOM))
+        (inputs / name).mkdir(parents=True)
+        (inputs / name / "today.jsonl").write_text("\n".join(json.dumps({**CUSTOM, "event_id": f"{name}-{k}"}) for k in range(2)) + "\n \t\n")
+    (inputs / "stray").mkdir()
+    (inputs / "stray" / "x.jsonl").write_text(json.dumps(CUSTOM))
     sensors = spark.createDataFrame(
-        [(str(tmp_path / name), f"pole-{name}", "203.0.113.1", None, None) for name in ("north", "south")],
+        [(str(inputs / name), f"pole-{name}", "203.0.113.1", None, None) for name in ("north", "south")],
         "directory string, sensor_id string, sensor_ip string, honeypot_id string, honeypot_type string",
     )
-    found = read_sensor_lines(spark, str(tmp_path / "*"), sensors)
+    found = read_sensor_lines(spark, str(inputs / "*"), sensors)
     rows = valid_events(normalize(found)).select("event.id", "meta.sensor_id").collect()
     assert sorted((r.id, r.sensor_id) for r in rows) == [("north-0", "pole-north"), ("north-1", "pole-north"), ("south-0", "pole-south"), ("south-1", "pole-south")]
     assert found.where("sensor_id IS NULL").count() == 1  # no sensor is known for that folder, so its line is no event
-    stream = stream_sensor_lines(spark, str(tmp_path / "*"), sensors)
+    stream = stream_sensor_lines(spark, str(inputs / "*"), sensors)
     running = stream.writeStream.format("memory").queryName("sensor_lines").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "progress")).start()
     running.awaitTermination()
     streamed, read = (sorted((r.value, r.sensor_id or "") for r in rows.select("value", "sensor_id").collect()) for rows in (spark.table("sensor_lines"), found))
