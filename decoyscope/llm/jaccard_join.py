@@ -39,6 +39,8 @@ SIMILARITY = 75
 """Per cent of the union that a link's intersection has at least."""
 BITMAP = 2048
 BLOCK_BYTES = 4 << 20
+CENSUS = np.uint64(((1 << 64) - 1) ^ 0xFFFF)
+"""Bits of a shingle's hash that the census counts by; a shared key only makes a shingle look more common than it is."""
 TILE = 2048
 """Sets that a tile's part has; a run of more is cut."""
 FIRST_PAIRS = 8
@@ -97,7 +99,7 @@ def _block(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray
 
 def _count(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     _, shingles, sizes, _, first = _block(rows)
-    return np.unique(shingles[np.repeat(first, sizes)], return_counts=True)
+    return np.unique(shingles[np.repeat(first, sizes)] & CENSUS, return_counts=True)
 
 
 def _rarity(totals: np.ndarray) -> np.ndarray:
@@ -118,9 +120,9 @@ def _prefixes(rows: pa.Table, told: pa.Table) -> pa.Table:
     rows, shingles, sizes, marks, first = _block(rows)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     led = first[owner]
-    keys = np.unique(shingles[led])
+    counted = shingles[led] & CENSUS
     rarity = np.zeros(len(shingles), dtype=np.int64)
-    rarity[led] = answers(told)[np.searchsorted(keys, shingles[led])]
+    rarity[led] = answers(told)[np.searchsorted(np.unique(counted), counted)]
     order = np.argsort(owner * 256 + rarity, kind="stable")
     place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
     length = sizes - -(-SIMILARITY * sizes // 100) + 1
