@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .census import answers, corpus_counts, dealt
+from .census import answers, corpus_counts, dealt, places
 from .common import text_bytes
 from .textkit import ALNUM, chunks, windows
 
@@ -70,9 +70,8 @@ def word_scores(grams: list[np.ndarray], counts: np.ndarray, totals: list[np.nda
 def _scorer(order: int, mask: int, alpha: float, least: int):
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         grams, counts = _grams(rows.column("text"), order, mask)
-        keys = np.append(np.unique(np.concatenate(grams)), _ALL_WORDS)
         found = answers(told).astype(np.float64)
-        totals = [found[np.searchsorted(keys, gram)] for gram in grams]
+        totals = np.split(found[places(np.concatenate(grams))[0]], np.cumsum([len(gram) for gram in grams])[:-1])
         scores = word_scores(grams, counts, totals, int(found[-1]), alpha, least) if len(grams[0]) else np.zeros(0)
         sums = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=scores, minlength=len(counts))
         return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "log_score": pa.array(sums, pa.float64())})

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .census import answers, corpus_counts, dealt
+from .census import answers, corpus_counts, dealt, places
 from .common import row_key, stored, text_bytes
 from .components import components
 from .textkit import NON_SPACE, chunks, mix, windows, within
@@ -122,7 +122,7 @@ def _prefixes(rows: pa.Table, told: pa.Table) -> pa.Table:
     led = first[owner]
     counted = shingles[led] & CENSUS
     rarity = np.zeros(len(shingles), dtype=np.int64)
-    rarity[led] = answers(told)[np.searchsorted(np.unique(counted), counted)]
+    rarity[led] = answers(told)[places(counted)[0]]
     order = np.argsort(owner * 256 + rarity, kind="stable")
     place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
     length = sizes - -(-SIMILARITY * sizes // 100) + 1
