@@ -2,12 +2,15 @@
 
 A public vocabulary that was made for natural text cuts natural text into few, long and varied pieces. Per
 document this gives characters per token, the share of byte-fallback tokens (tokens that hold only a part of
-a character) and the entropy of its tokens. Rejection bands for the three are set per language group from all
-documents of the group (median and quartiles), and a fixed band rules out texts that are mostly symbols.
+a character) and the entropy of its tokens. Rejection bands for the three are set per language group and length,
+as all three depend on both: the median of the texts of the group that have about as many tokens, and the nearer
+quartile, so that junk on one side of the median does not widen a band. The bands reject most junk by themselves;
+a fixed band rules out what else is full of symbols.
 
 Edge cases: a null or empty text has no words or tokens, all counts 0, and fails the base rule. A language
 that is not in `GROUPS` (null too) falls in the group of its text's dominant script. Repeated rows each get a
-row. A group with too few texts to set a band (`MIN_GROUP`) rejects nothing by bands. An empty table gives an
+row. A length with too few texts to set a band (`MIN_GROUP`) has the bands of its whole group, and a
+group with too few rejects nothing by bands. An empty table gives an
 empty result. Clashing column names: metrics are added under `METRICS` names; columns of the input that have
 such a name are replaced in `measured`'s result.
 """
@@ -42,8 +45,8 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 MIN_GROUP = 50
 MIN_TOKENS = 64
 """Shorter texts are not judged by entropy, which their length alone limits."""
-WIDTH = 4.0
-"""Half-width of a band in spreads (half the middle 80 %) to either side of the median."""
+WIDTH = 5.5
+"""Half-width of a band in spreads (from the median to the nearer quartile) to either side of the median."""
 MAX_SYMBOL_SHARE = 0.05
 
 SYMBOLS = byte_class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
@@ -209,43 +212,54 @@ _RATES = {
     "fallback_share": lambda: F.col("n_fallback") / F.greatest(F.col("n_tokens"), F.lit(1)),
     "entropy_share": lambda: F.col("token_entropy") / F.log2(F.greatest(F.col("n_tokens"), F.lit(2))),
 }
-_LEAST_SPREAD = {"chars_per_token": 0.1, "fallback_share": 0.02, "entropy_share": 0.02}
+_LEAST_SPREAD = {"chars_per_token": 0.02, "fallback_share": 0.005, "entropy_share": 0.01}
+
+
+def _keys(lang: str | None) -> list[Column]:
+    """Names of the bands for a text, best first: its group at its length (in doublings of tokens), its group."""
+    length = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("string")
+    return [F.concat_ws(":", _group(lang), length), _group(lang)]
 
 
 def bands(metered: DataFrame, lang: str | None = "lang") -> dict[str, dict[str, tuple[float, float]]]:
-    """Lowest and highest accepted rate by group and rate.
+    """Lowest and highest accepted rate by band name (`_keys`) and rate.
 
-    At most `len(GROUPS) + len(_SCRIPTS)` groups exist, so the table that reaches the driver is that small.
+    At most `len(GROUPS) + len(_SCRIPTS)` groups of some dozens of lengths exist, so the table that reaches the driver is that small.
     """
     names = list(_RATES)
     judged = metered.where(~base_failed() & (F.col("n_tokens") >= MIN_TOKENS)).select(
-        _group(lang).alias("_group"), *(rate().alias(name) for name, rate in _RATES.items())
+        F.explode(F.array(*_keys(lang))).alias("_key"), *(rate().alias(name) for name, rate in _RATES.items())
     )
-    rows = judged.groupBy("_group").agg(
-        F.count(F.lit(1)).alias("n"), *(F.percentile_approx(name, [0.1, 0.5, 0.9], 1000).alias(name) for name in names)
-    ).collect()
+    rows = judged.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("n"), *(F.percentile_approx(name, [0.25, 0.5, 0.75], 1000).alias(name) for name in names)
+    ).where(F.col("n") >= MIN_GROUP).collect()
     out = {}
     for row in rows:
-        if row["n"] >= MIN_GROUP:
-            out[row["_group"]] = {}
-            for name in names:
-                low, middle, high = row[name]
-                out[row["_group"]][name] = tuple(
-                    middle + sign * WIDTH * max(abs(end - middle), _LEAST_SPREAD[name]) for sign, end in ((-1, low), (1, high))
-                )
+        out[row["_key"]] = {}
+        for name in names:
+            low, middle, high = row[name]
+            reach = WIDTH * max(min(middle - low, high - middle), _LEAST_SPREAD[name])
+            out[row["_key"]][name] = (middle - reach, middle + reach)
     return out
 
 
+def in_bands(limits: dict[str, dict[str, tuple[float, float]]], lang: str | None = "lang") -> Column:
+    """True for documents inside all bands that hold for them."""
+    if not limits:
+        return F.lit(True)
+    table = F.create_map(*(x for name, rates in limits.items() for x in (
+        F.lit(name), F.array(*(F.lit(float(end)) for rate in _RATES for end in rates[rate]))
+    )))
+    own = F.coalesce(*(F.try_element_at(table, key) for key in _keys(lang)))
+    inside = F.lit(True)
+    for k, rate in enumerate(_RATES.values()):
+        inside = inside & rate().between(own[2 * k], own[2 * k + 1])
+    return own.isNull() | (F.col("n_tokens") < MIN_TOKENS) | inside
+
+
 def verdict(limits: dict[str, dict[str, tuple[float, float]]], lang: str | None = "lang") -> Column:
-    """True for documents inside all bands of their group."""
-    fine = F.col("n_symbols") <= MAX_SYMBOL_SHARE * F.greatest(F.col("word_chars"), F.lit(1))
-    group = _group(lang)
-    for name, rates in limits.items():
-        inside = F.lit(True)
-        for rate, (low, high) in rates.items():
-            inside = inside & _RATES[rate]().between(low, high)
-        fine = fine & ((group != name) | (F.col("n_tokens") < MIN_TOKENS) | inside)
-    return fine
+    """True for documents inside all their bands that are not full of symbols."""
+    return in_bands(limits, lang) & (F.col("n_symbols") <= MAX_SYMBOL_SHARE * F.greatest(F.col("word_chars"), F.lit(1)))
 
 
 def judged(

@@ -62,6 +62,16 @@ def test_bands_reject_odd_texts_only(spark):
     assert kept == {k for k, _, _ in plain} - repeated
 
 
+def test_bands_reject_junk_without_the_symbol_rule(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
+    metered = tokenizer_quality.judged(docs, keep_text=False).where("not base_failed")
+    limits = tokenizer_quality.bands(metered)
+    rows = metered.withColumn("inside", tokenizer_quality.in_bands(limits)).select("quality", "inside").collect()
+    good, junk = ([r.inside for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(junk) < 0.3 * len(junk) and sum(good) > 0.98 * len(good)
+
+
 def test_no_rows(no_docs):
     assert tokenizer_quality.judged(no_docs).count() == 0
     assert backoff.score(no_docs).count() == 0
