@@ -1,7 +1,8 @@
 """Mixing to target weights by iterative proportional fitting, in SQL functions only.
 
 Token counts of (source, language, topic) cells are raked: for each of the three in turn, every value's cells are
-scaled so that the value's share meets its target, again and again. A cell's fitted weight over its tokens, divided
+scaled so that the value's share meets its target, again and again until no share needs more than `TOLERANCE`.
+Targets that the cells cannot meet together are reported by a warning with what is missing. A cell's fitted weight over its tokens, divided
 by the largest such ratio, is the probability with which its documents are kept, so expected token shares are the
 fitted ones. A document is kept if a uniform hash of it falls below its probability: the same documents every run.
 
@@ -18,6 +19,8 @@ are replaced.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,13 @@ from .common import stored
 from .sharding import BITS, content_bits
 
 TEMPER = 0.8
-SWEEPS = 5
-"""After five, margins of the test tables are within 1e-10 of their targets; sparse cell tables need more."""
+SWEEPS = 20
+"""Sweeps made before raking may give up; the SQL makes as many. Raking ends earlier once it has converged."""
+TOLERANCE = 1e-8
+"""Raking has converged when no margin of a sweep needs a larger relative correction."""
+MAX_SWEEPS = 1000
+PATIENCE, STALLED = 10, 0.9
+"""After SWEEPS, raking gives up if PATIENCE sweeps leave more than this part of the error: targets contradict each other."""
 DIMENSIONS = ("source", "lang", "topic")
 ADDED = ("topic", "tokens", "probability", "kept")
 
@@ -60,15 +68,27 @@ def _targets(cells: DataFrame, dimension: str, given: dict[str, float] | None, t
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """Cells (dimensions, tokens) with fitted `weight`s whose margins meet the targets."""
+    """Cells (dimensions, tokens) with fitted `weight`s whose margins meet the targets.
+
+    One number a sweep reaches the driver: the largest relative correction (`off`) that a margin needed.
+    """
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
+    errors: list[float] = []
+    while len(errors) < MAX_SWEEPS:
+        fitted = fitted.withColumn("off", F.lit(0.0))
         for dimension, target in targets.items():
             held = fitted.groupBy(dimension).agg(F.sum("weight").alias("held"))
             factor = held.join(target, dimension).select(dimension, (F.col("target") / F.col("held")).alias("factor"))
-            fitted = fitted.join(factor, dimension).select(*cells.columns, (F.col("weight") * F.col("factor")).alias("weight"))
+            off = F.greatest("off", F.abs(F.col("factor") - 1)).alias("off")
+            fitted = fitted.join(factor, dimension).select(*cells.columns, (F.col("weight") * F.col("factor")).alias("weight"), off)
             fitted = stored(fitted.coalesce(8), "raked")
-    return fitted
+        errors.append(fitted.agg(F.max("off")).first()[0] or 0.0)
+        if errors[-1] <= TOLERANCE:
+            return fitted.drop("off")
+        if len(errors) >= max(sweeps, PATIENCE + 1) and errors[-1] > STALLED * errors[-1 - PATIENCE]:
+            break
+    warnings.warn(f"mixing targets are not met: sweep {len(errors)} still corrects a margin by {errors[-1]:.2g} of its target", RuntimeWarning, stacklevel=2)
+    return fitted.drop("off")
 
 
 def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS) -> DataFrame:

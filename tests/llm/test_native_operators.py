@@ -133,5 +133,24 @@ def test_mix_meets_targets(spark):
         assert all(abs(r["count"] / n - 0.5) < 0.02 for r in kept.groupBy(column).count().collect())
 
 
+def test_raking_goes_on_until_margins_meet_targets(spark):
+    rows = [(f"s{i}", f"l{j}", "t", 700 if i == j else 100) for i in range(4) for j in range(4)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    share = {"source": [0.4, 0.3, 0.2, 0.1], "lang": [0.2, 0.2, 0.3, 0.3]}
+    targets = {d: spark.createDataFrame([(f"{d[0]}{k}", x) for k, x in enumerate(v)], f"{d} string, target double") for d, v in share.items()}
+    targets["topic"] = spark.createDataFrame([("t", 1.0)], "topic string, target double")
+    fitted = mixing.rake(cells, targets)
+    for d, v in share.items():
+        held = {r[d]: r["w"] for r in fitted.groupBy(d).agg(F.sum("weight").alias("w")).collect()}
+        assert all(held[f"{d[0]}{k}"] == pytest.approx(x, rel=1e-7) for k, x in enumerate(v))
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, tokens long")
+    given = {"source": {"a": 0.8, "b": 0.2}, "lang": {"x": 0.5, "y": 0.5}}
+    with pytest.warns(RuntimeWarning, match="targets are not met"):
+        mixing.probabilities(cells, given)
+
+
 def test_mix_of_no_rows(no_docs):
     assert mixing.mix(no_docs).count() == 0
