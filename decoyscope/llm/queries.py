@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, decontaminate, html_content, jaccard_join, line_dedup, mixing, secret_scan, sharding, tokenizer_quality, toxicity
+from . import backoff, decontaminate, html_content, jaccard_join, line_dedup, mixing, secret_scan, sharding, simhash, tokenizer_quality, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op10_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fm_index_decontamination": op1_fm_index_decontamination,
     "op2_dom_tree_text": op2_dom_tree_text,
@@ -86,4 +90,5 @@ QUERIES: dict[str, Query] = {
     "op8_extendible_shards": op8_extendible_shards,
     "op9_size_banded_jaccard": op9_size_banded_jaccard,
     "op10_tokenizer_fertility": op10_tokenizer_fertility,
+    "op13_simhash_deletion_variants": op13_simhash_deletion_variants,
 }
