@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from . import backoff, mixing, secret_scan, sharding
+from . import backoff, mixing, secret_scan, sharding, spelling
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -133,6 +133,38 @@ WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({_F
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(total, 0), 4) AS log_score, round(exp(-total / len(w)), 4) AS perplexity FROM d LEFT JOIN t USING (row_id)"""
 
 
+def _spelling() -> str:
+    checksum = "list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(length(x) / 2 AS BIGINT) + 1), lambda k: CAST('0x' || substr(x, 2 * k - 1, 2) AS BIGINT))), "
+    checksum += "lambda a, b: xor(a >> 8, table_of[(xor(a, b) & 255) + 1]))"
+    return f"""
+WITH RECURSIVE powers AS (
+  SELECT b, b AS v, 0 AS step FROM range(256) AS t(b)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM powers WHERE step < 8
+), crc AS (SELECT list(v ORDER BY b) AS table_of FROM powers WHERE step = 8), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= {spelling.MIN_LETTERS} GROUP BY ALL
+), hashed AS (SELECT run, n, hex(encode(doc || ':' || run)) AS x FROM runs), checked AS (
+  SELECT run, n, xor({checksum}, 4294967295) AS h FROM hashed, crc
+), damaged AS (
+  SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM checked
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= {spelling.MIN_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}
+), cut AS (SELECT word, n, k, left(word, k - 1) || substr(word, k + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) AS t(k)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b USING (k, rest) WHERE a.word <> b.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON w.word = rest
+  UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON w.word = rest
+), best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY word), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {spelling.FORM_FACTOR} * w.n THEN top END AS form_n,
+    CASE WHEN top >= {spelling.FORM_FACTOR} * w.n THEN (SELECT min(near) FROM near WHERE near.word = w.word AND near_n = top) END AS form
+  FROM w LEFT JOIN best USING (word)
+), up AS (
+  SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT up.word, up.next, forms.form FROM up JOIN forms ON forms.word = up.next
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN (SELECT word, root FROM up WHERE next IS NULL) USING (word)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_fm_index_decontamination": _DECONTAMINATION,
     "op3_stupid_backoff": _backoff(),
@@ -140,4 +172,5 @@ ORACLES: dict[str, str] = {
     "op5_ownership_secrets": _secrets(),
     "op6_raked_mix": f"WITH {mix_sql('documents')}\nSELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, kept FROM mixed",
     "op8_extendible_shards": _SHARDS,
+    "op12_bidirectional_variants": _spelling(),
 }

@@ -22,7 +22,6 @@ pieces; an empty table gives an empty result. Only doc_id and text are read, so
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -34,6 +33,7 @@ from xxhash import xxh64_intdigest
 
 from .common import stored
 from .components import components
+from .textkit import pieces
 
 WORDS = 3
 SEED = 42
@@ -41,28 +41,14 @@ DISTANCE = 3
 BITS = 64
 LIMIT = 1024
 """Members of a key that are compared directly; a key of more is cut again."""
-PIECE = 1 << 20
-"""Bytes of a long text that are taken at once."""
 LAST = (1 << 63) - 1
 
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """The text in pieces that end before a blank."""
-    low = 0
-    while low < len(text):
-        blank = _BLANK.search(text, low + PIECE) if low + PIECE < len(text) else None
-        high = blank.start() if blank else len(text)
-        yield text[low:high]
-        low = high
-
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> Iterator[np.ndarray]:
     """XXH64 of a text's shingles, piece by piece."""
     held: list[bytes] = []
     whole = True
-    for piece in _pieces(text):
+    for piece in pieces(text):
         held += piece.lower().split()
         if len(held) >= words:
             whole = False

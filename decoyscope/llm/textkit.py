@@ -7,6 +7,7 @@ chunk; `Chunk.code_points` turns them into code points. A null text counts as em
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -155,6 +156,19 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Itera
         low = high
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, limit: int | None = None) -> Iterator[bytes]:
+    """A text in pieces of about `limit` bytes (`CHUNK_BYTES`) that end before a blank, so that no word is cut."""
+    low, limit = 0, limit or CHUNK_BYTES
+    while low < len(text):
+        blank = _BLANK.search(text, low + limit) if low + limit < len(text) else None
+        high = blank.start() if blank else len(text)
+        yield text[low:high]
+        low = high
+
+
 def within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For groups of these sizes laid end to end: each element's group, and its place in the group."""
     group = np.repeat(np.arange(len(counts)), counts)

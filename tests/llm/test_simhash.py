@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from llm_corpus import corpus, docs, no_docs, words  # noqa: F401
-from decoyscope.llm import simhash
+from decoyscope.llm import simhash, textkit
 from decoyscope.llm.components import components
 
 LAST = simhash.LAST
@@ -68,7 +68,7 @@ def test_long_texts_in_pieces(monkeypatch):
     whole = simhash.fingerprint(text.encode())
     assert whole == mark(text)
     for size in (1, 7, 64, 5000):
-        monkeypatch.setattr(simhash, "PIECE", size)
+        monkeypatch.setattr(textkit, "CHUNK_BYTES", size)
         assert simhash.fingerprint(text.encode()) == whole
 
 
