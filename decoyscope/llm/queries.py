@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, decontaminate, html_content, jaccard_join, line_dedup, mixing, secret_scan, sharding, simhash, spelling, tokenizer_quality, toxicity
+from . import backoff, conversations, decontaminate, html_content, jaccard_join, line_dedup, mixing, secret_scan, sharding, simhash, spelling, tokenizer_quality, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op10_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_persistent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_bidirectional_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_extendible_shards": op8_extendible_shards,
     "op9_size_banded_jaccard": op9_size_banded_jaccard,
     "op10_tokenizer_fertility": op10_tokenizer_fertility,
+    "op11_persistent_audit": op11_persistent_audit,
     "op12_bidirectional_variants": op12_bidirectional_variants,
     "op13_simhash_deletion_variants": op13_simhash_deletion_variants,
 }
