@@ -6,11 +6,13 @@
    only this document holds are dropped, so most documents send nothing further.
 3. Rows (shingle, size, set) are sorted by shingle and size. Neighbours in a run are tried first, which joins groups
    of copies with as many pairs as they have members; verified links give first classes.
-4. Runs that still hold different classes become tiles, long runs several of them (every part of `TILE` sets meets every
-   other part in a tile). Sorted by size, a set meets the band of sizes it can be linked with, by bitmaps of hashed
-   shingles: with d bits different the overlap is at most (|x| + |y| - d) / 2. Of the pairs of two classes that this
-   bound lets through, the likeliest few are verified first, for one link is enough to join two classes; more rounds
-   follow until every pair of different classes that passes the bound has been verified.
+4. Runs that still hold different classes become tiles. A run of more than `TILE` sets is cut by size: in bands of ratio 4 to 3, so
+   that a set can only be linked inside its band and with the two next to it, and inside a band by a hash if that is still too
+   large. Sorted by size, a set meets the sizes it can be linked with, by bitmaps of hashed shingles: with d bits
+   different the overlap is at most (|x| + |y| - d) / 2. Two sets that share several runs are listed in that of their smallest
+   common key; a row brings its set's `LEAST` smallest keys to tell, and where these have none in common the pair is listed
+   in each. Of the pairs of two classes that the bound lets through, the likeliest few are verified first, for one link is enough to join two
+   classes; more rounds follow until every pair of different classes that passes the bound has been verified.
 5. Verification intersects the sorted hash arrays. All links together give the classes.
 
 No pair that could join two classes is left out, and no pairs inside a class are listed. Linked: 100 * |x and y| >=
@@ -22,6 +24,7 @@ are read. Shingles are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,10 @@ CENSUS = np.uint64(((1 << 64) - 1) ^ 0xFFFF)
 """Bits of a shingle's hash that the census counts by; a shared key only makes a shingle look more common than it is."""
 TILE = 2048
 """Sets that a tile's part has; a run of more is cut."""
+LEAST = 32
+"""Smallest prefix keys of a set that its rows bring along."""
+BAND = 4 / 3
+"""Linked sets differ in size by this ratio at most, so they are in the same band or in neighbouring ones."""
 FIRST_PAIRS = 8
 """Candidate pairs of two classes that are tried first; the next rounds try 16 times as many, until none is left."""
 LAST = (1 << 63) - 1
@@ -184,17 +191,34 @@ def _tiles(most: int):
 
 
 def _tile_pairs(rows: pa.Table, cuts: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    low, high, part, n, mark, root = (rows.column(name).to_numpy() for name in ("low", "high", "part", "n", "set", "root"))
+    low, high, part, n, mark, root, run = (rows.column(name).to_numpy() for name in ("low", "high", "part", "n", "set", "root", "key"))
     bits = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), dtype=np.uint64).reshape(-1, BITMAP // 64)
+    lists = rows.column("least").combine_chunks()
+    least = np.zeros((len(n), LEAST), dtype=np.int64)
+    held = np.diff(lists.offsets.to_numpy())
+    least[:] = np.arange(len(n))[:, None]  # fills short rows; a row's own number is compared with no other's
+    filled = np.arange(LEAST) < held[:, None]
+    least[filled] = lists.flatten().to_numpy()
     for begin, end in zip(cuts, cuts[1:]):
-        tile = [column[begin:end] for column in (n.astype(np.int64), root, bits, part)]
-        pairs, more = _compared(*tile, across=low[begin] != high[begin], most=most)
+        tile = [column[begin:end] for column in (n.astype(np.int64), root, bits, part, least, filled)]
+        pairs, more = _compared(*tile, run=run[begin], across=low[begin] != high[begin], most=most)
         if len(pairs):
             a, b = mark[begin:end][pairs[:, 0]], mark[begin:end][pairs[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
 
 
-def _compared(n: np.ndarray, root: np.ndarray, bits: np.ndarray, part: np.ndarray, across: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _first_in(run: int, keys: np.ndarray, filled: np.ndarray, own: np.ndarray, own_filled: np.ndarray) -> np.ndarray:
+    """Of rows of sorted keys: which have no common key with `own` that is smaller than the run's."""
+    smaller = own[own_filled & (own < run)]
+    if not len(smaller):
+        return np.ones(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(smaller, keys), len(smaller) - 1)
+    return ~((smaller[at] == keys) & filled).any(axis=1)
+
+
+def _compared(
+    n: np.ndarray, root: np.ndarray, bits: np.ndarray, part: np.ndarray, least: np.ndarray, filled: np.ndarray, run: int, across: bool, most: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Of rows sorted by size: places of pairs of different classes that can be linked, and whether their classes have more."""
     found = []
     for k in range(len(n) - 1):
@@ -207,8 +231,10 @@ def _compared(n: np.ndarray, root: np.ndarray, bits: np.ndarray, part: np.ndarra
             apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
             both = n[k] + n[at]
             fits = (100 + SIMILARITY) * ((both - apart) // 2) >= SIMILARITY * both
-            if fits.any():
-                found.append(np.stack([np.full(fits.sum(), k), at[fits], apart[fits]], axis=1))
+            at, apart = at[fits], apart[fits]
+            first = _first_in(run, least[at], filled[at], least[k], filled[k])
+            if first.any():
+                found.append(np.stack([np.full(first.sum(), k), at[first], apart[first]], axis=1))
     if not found:
         return np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=bool)
     pairs = np.concatenate(found)
@@ -238,7 +264,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tile_rows(rows: DataFrame, roots: DataFrame, bodies: DataFrame) -> DataFrame:
     """The sets of runs that hold more than one class, with their bitmaps, dealt into tiles and sorted.
 
-    Runs of the same sets are taken once. A run over TILE sets is cut in parts, and every two parts share a tile.
+    Runs of the same sets are taken once. A run over TILE sets is cut in bands of sizes, and a band over TILE sets in parts.
     """
     rooted = rows.join(roots.withColumnRenamed("node", "set"), "set", "left").select("key", "n", "set", F.coalesce("root", "set").alias("root"))
     runs = rooted.groupBy("key").agg(
@@ -246,10 +272,22 @@ def _tile_rows(rows: DataFrame, roots: DataFrame, bodies: DataFrame) -> DataFram
         F.min("set").alias("first"),
     )
     runs = runs.where("least <> most").groupBy("size", "members", "first").agg(F.min("key").alias("key"))
-    dealt_out = rooted.join(runs.select("key", F.ceil(F.col("size") / TILE).alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
-    dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt_out = dealt_out.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "set", "root")
-    return dealt_out.join(bodies.select("set", "bitmap"), "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "set")
+    rooted = rooted.join(runs.select("key", (F.col("size") > TILE).alias("long")), "key")
+    rooted = rooted.withColumn("band", F.when(F.col("long"), F.floor(F.log("n") / math.log(BAND))).otherwise(0).cast("int"))
+    bands = rooted.where("long").groupBy("key", "band").count().select("key", "band", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
+    bands = bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"))  # a band per ratio of sizes: some dozens
+    cut = rooted.join(bands, "key", "left")
+    number = lambda band: F.coalesce(F.try_element_at("parts", band), F.lit(0))
+    cell = lambda band, part: band * F.lit(1 << 32) + part
+    cells = lambda band: F.transform(F.sequence(F.lit(0), F.greatest(number(band), F.lit(1)) - 1), lambda part: cell(band, part))
+    there = lambda band: F.when(number(band) > 0, cells(band)).otherwise(F.array().cast("array<bigint>"))
+    own = F.when(F.col("long"), cell(F.col("band"), F.pmod(F.xxhash64("set"), number(F.col("band"))))).otherwise(F.lit(0)).cast("bigint")
+    cut = cut.withColumn("part", own)
+    others = F.concat(there(F.col("band") - 1), there(F.col("band")), there(F.col("band") + 1))
+    cut = cut.withColumn("other", F.explode(F.when(F.col("long"), others).otherwise(F.array(F.lit(0).cast("bigint")))))
+    cut = cut.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "set", "root")
+    brought = bodies.select("set", "bitmap", F.slice(F.sort_array("keys"), 1, LEAST).alias("least"))
+    return cut.join(brought, "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "set")
 
 
 def _links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -97,3 +97,20 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(ids[k], ids[k + 1]) for k in range(len(ids) - 1)] + [(5, k) for k in range(6, 300)] + [(9000, 9000), (7, 7)]
     found = components(spark.createDataFrame(links, "a long, b long"))
     assert {(r.node, r.root) for r in found.collect()} == {(k, 1000) for k in ids} | {(k, 5) for k in range(5, 300)}
+
+
+@pytest.mark.parametrize("tile,least", [(4, 1), (16, 32)])
+def test_long_runs_of_many_sizes(spark, monkeypatch, tile, least):
+    """A passage in texts of all sizes: links between neighbouring sizes only, few smallest keys brought along."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "LEAST", least)
+    chance = random.Random(12)
+    new = lambda n: [f"{chance.randrange(10**6)}" for _ in range(n)]
+    passage = new(200)
+    texts = []
+    for _ in range(90):
+        size = chance.choice([5, 12, 30, 60, 110, 200])
+        texts.append(" ".join(passage[:size] + new(chance.randint(0, size // 3 + 1))))
+    rows = list(enumerate(texts))
+    chance.shuffle(rows)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
