@@ -621,7 +621,8 @@ SELECT topic, CASE WHEN n > 0 THEN 'MEASURED' ELSE 'NOT_MEASURED' END AS status
 # Streams --------------------------------------------------------------------------------------
 
 oracle("stream_distinct_events", EV, "SELECT event_id, ts, service FROM ev")
-oracle("stream_rebuild_sessions", IN_SESSIONS, "SELECT session_id, source_ip, start_time, end_time, duration, event_count FROM sess")
+oracle("stream_rebuild_sessions", IN_SESSIONS, "SELECT * EXCLUDE (service_count, honeypot_count, service_text) FROM sess")
+oracle("stream_rebuild_detections", IN_DETECTIONS, "SELECT * EXCLUDE (detected_at) FROM det")
 oracle("stream_histogram", EV, """
 SELECT bucket, count(*) AS count FROM (SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS bucket FROM ext)
 WHERE bucket + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM ext) GROUP BY 1""")

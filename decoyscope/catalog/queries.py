@@ -828,11 +828,8 @@ def stream_distinct_events(spark, sf_dir):
     return _eventual(_run_to_end(spark, distinct_stream(events.unionByName(events), "1 day"), "distinct")).select("event_id", "ts", "service")
 
 
-@query
-def stream_rebuild_sessions(spark, sf_dir):
-    """The events table through the incremental processor, in two micro-batches, late rows included."""
-    from decoyscope.schemas import SESSION
-    from decoyscope.sources.store import read_or_empty
+def _processed(spark, sf_dir):
+    """The store after the events table went through the incremental processor in two micro-batches, late rows included."""
     from decoyscope.streaming.processor import Store, process_stream
 
     root = f"{shared_folder(spark).rstrip('/')}/processor-{uuid.uuid4().hex}"
@@ -843,7 +840,25 @@ def stream_rebuild_sessions(spark, sf_dir):
         events.where(part == n).write.mode("append").parquet(f"{root}/arrivals")
         arrivals = spark.readStream.schema(schema).parquet(f"{root}/arrivals")
         process_stream(arrivals, store, f"{root}/progress", SETTINGS, available_now=True).awaitTermination()
-    return read_or_empty(spark, store.sessions, SESSION).select("session_id", "source_ip", "start_time", "end_time", "duration", "event_count")
+    return store
+
+
+@query
+def stream_rebuild_sessions(spark, sf_dir):
+    """Sessions that the processor merged from its cells."""
+    from decoyscope.schemas import SESSION
+    from decoyscope.sources.store import read_or_empty
+
+    return read_or_empty(spark, _processed(spark, sf_dir).sessions, SESSION)
+
+
+@query
+def stream_rebuild_detections(spark, sf_dir):
+    """Detections that the processor keeps beside them; their time of first detection is the clock's."""
+    from decoyscope.schemas import DETECTION
+    from decoyscope.sources.store import read_or_empty
+
+    return read_or_empty(spark, _processed(spark, sf_dir).detections, DETECTION).drop("detected_at")
 
 
 @query

@@ -24,6 +24,11 @@ def is_internal(source_ip: str = "source.ip", flag: str = "meta.internal"):
     return F.coalesce(F.col(flag), F.lit(False)) | is_loopback(F.col(source_ip))
 
 
+def event_slot(ts, settings: Settings = DEFAULTS):
+    """The number of the timeout-wide slot in which a time lies."""
+    return slot(ts, _slot_width(settings.session_timeout_seconds))
+
+
 def external_events(events: DataFrame) -> DataFrame:
     return events.where(~is_internal())
 
@@ -32,6 +37,11 @@ def _slot_width(timeout_seconds: float) -> int:
     return max(int(timeout_seconds * 1_000_000), 1)
 
 
+def slot_start(slot_number, settings: Settings = DEFAULTS):
+    """The time at which a slot begins."""
+    return F.timestamp_micros(slot_number * F.lit(_slot_width(settings.session_timeout_seconds)))
+
+
 def _flat(events: DataFrame, timeout_seconds: float) -> DataFrame:
     """The few columns sessions need, with the rule predicates as flags."""
     user, password = F.col("authentication.username"), F.col("authentication.password")
@@ -82,11 +92,6 @@ def _chain(slots: DataFrame, timeout_seconds: float) -> DataFrame:
     )
 
 
-def _session_slots(flat: DataFrame, timeout_seconds: float) -> DataFrame:
-    slots = flat.groupBy("source_ip", "slot").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return _chain(slots, timeout_seconds).select("source_ip", "slot", "session_start")
-
-
 def label_events(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Every external event with its session: the membership table in long form.
 
@@ -136,14 +141,16 @@ _FLAG_COUNTS = {
 }
 
 
-def build_sessions(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per session: times, touched services, counters. See schemas.SESSION."""
-    timeout = settings.session_timeout_seconds
-    flat = _flat(external_events(events), timeout)
-    counters = [*_FLAG_COUNTS, "event_count", "command_count", "url_count"]
+_COUNTERS = [*_FLAG_COUNTS, "event_count", "command_count", "url_count"]
+CELL_KEYS = ("source_ip", "slot", "honeypot", "service", "protocol")
+
+
+def session_cells(flat: DataFrame) -> DataFrame:
+    """The mergeable state of sessions: bounds and counters per source, slot and touched names. See schemas.SESSION_CELL.
 
-    # Touched names are part of the key here: plain counters stay in the hash aggregate.
-    partial = flat.groupBy("source_ip", "slot", "honeypot", "service", "protocol").agg(
+    Touched names are part of the key, so plain counters stay in the hash aggregate.
+    """
+    return flat.groupBy(*CELL_KEYS).agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.count("*").alias("event_count"),
@@ -151,21 +158,37 @@ def build_sessions(events: DataFrame, settings: Settings = DEFAULTS) -> DataFram
         F.count("url").alias("url_count"),
         *[F.count_if(F.col(flag)).alias(name) for name, flag in _FLAG_COUNTS.items()],
     )
+
+
+def session_paths(flat: DataFrame) -> DataFrame:
+    """Distinct web paths per source and slot. Paths are chosen by the sender, so they are never gathered in a set."""
+    return flat.where("url IS NOT NULL").select("source_ip", "slot", "url").distinct()
+
+
+def chain_cells(cells: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    return _chain(cells, settings.session_timeout_seconds)
+
+
+def merge_cells(chained: DataFrame, paths: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Sessions of cells that carry their session_start, and of the paths of the same slots."""
     sessions = (
-        _chain(partial, timeout)
-        .groupBy("source_ip", "session_start")
+        chained.groupBy("source_ip", "session_start")
         .agg(
             F.max("last_ts").alias("end_time"),
             F.array_sort(F.collect_set("honeypot")).alias("honeypots_touched"),
             F.array_sort(F.collect_set("service")).alias("services_touched"),
             F.array_sort(F.collect_set("protocol")).alias("protocols"),
-            *[F.sum(name).alias(name) for name in counters],
+            *[F.sum(name).alias(name) for name in _COUNTERS],
         )
         .withColumnRenamed("session_start", "start_time")
     )
-    paths = _distinct_paths(flat, settings)
-    joined = sessions.join(paths, ["source_ip", "start_time"], "left")
-    return joined.select(
+    starts = chained.groupBy("source_ip", "slot").agg(F.min("session_start").alias("start_time"))
+    placed = repeated_lookup(paths, starts, ["source_ip", "slot"], ["url"], settings.spread)
+    different = (
+        placed.select("source_ip", "start_time", "url").distinct()
+        .groupBy("source_ip", "start_time").agg(F.count("*").alias("distinct_url_count"))
+    )
+    return sessions.join(different, ["source_ip", "start_time"], "left").select(
         session_key(F.col("source_ip"), F.col("start_time")).alias("session_id"),
         "source_ip",
         "start_time",
@@ -189,17 +212,15 @@ def build_sessions(events: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     )
 
 
-def _distinct_paths(flat: DataFrame, settings: Settings) -> DataFrame:
-    """Distinct web paths per session. Paths are chosen by the sender, so they are never gathered in a set."""
-    starts = _session_slots(flat, settings.session_timeout_seconds)
-    paths = flat.where("url IS NOT NULL").select("source_ip", "slot", "url").distinct()
-    placed = repeated_lookup(paths, starts, ["source_ip", "slot"], ["url"], settings.spread)
-    return (
-        placed.select("source_ip", F.col("session_start").alias("start_time"), "url")
-        .distinct()
-        .groupBy("source_ip", "start_time")
-        .agg(F.count("*").alias("distinct_url_count"))
-    )
+def flat_events(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """External events as the few columns that sessions need, with their slot."""
+    return _flat(external_events(events), settings.session_timeout_seconds)
+
+
+def build_sessions(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row per session: times, touched services, counters. See schemas.SESSION."""
+    flat = flat_events(events, settings)
+    return merge_cells(chain_cells(session_cells(flat), settings), session_paths(flat), settings)
 
 
 def order_sessions(sessions: DataFrame) -> DataFrame:

@@ -156,6 +156,14 @@ SESSION = _fields(
     "iot_probe_count:long schema_version:text"
 )
 
+SESSION_CELL = _fields(
+    "source_ip:text slot:long honeypot:text service:text protocol:text first_ts:time last_ts:time "
+    "event_count:long command_count:long url_count:long authentication_attempts:long "
+    "failed_authentication_attempts:long credential_count:long weak_credential_count:long mqtt_event_count:long "
+    "mqtt_active_count:long iot_probe_count:long session_start:time slot_time:time"
+)
+SESSION_PATH = _fields("source_ip:text slot:long url:text slot_time:time")
+
 DETECTION = _fields(
     "detection_id:text session_id:text source_ip:text type:text severity:text timestamp:time "
     "evidence_end_time:time detected_at:time reason:text rule_id:text evidence_count:long "

@@ -81,7 +81,7 @@ def upsert(
     new: DataFrame,
     path: str,
     schema: T.StructType,
-    key: str,
+    key: str | Sequence[str],
     partition_source: str,
     stale: DataFrame | None = None,
 ) -> None:
@@ -103,7 +103,7 @@ def upsert(
         # Days as literals: only their partitions are listed and read.
         touched = read_days(spark, path, schema).where(F.col("day").isin([F.lit(day).cast("date") for day in days]))
         previous = touched.select(*names, "day", F.lit(-1).alias("_version"), F.lit(True).alias("_keep"))
-        merged = latest_per_key(previous.unionByName(changes), ["day", key], ["_version"]).where("_keep").drop("_version", "_keep")
+        merged = latest_per_key(previous.unionByName(changes), ["day", *([key] if isinstance(key, str) else key)], ["_version"]).where("_keep").drop("_version", "_keep")
         # A written table first, then the swap: a day that lost all its rows is emptied as well.
         merged = keep(merged, "merged")
         left = {row.day for row in merged.select(text).distinct().collect()}
