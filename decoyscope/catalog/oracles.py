@@ -615,8 +615,8 @@ SELECT topic, CASE WHEN n > 0 THEN 'MEASURED' ELSE 'NOT_MEASURED' END AS status
   UNION ALL SELECT 'ingestion_latency', (SELECT count(sample) FROM samples JOIN cohort USING (experiment_id))
   UNION ALL SELECT 'observed_event_rate', (SELECT count(rate) FROM cohort)
   UNION ALL SELECT 'resource_utilization', (SELECT count(*) FROM resources)
-  UNION ALL SELECT 'host_clock_provenance', (SELECT count(*) FROM resources WHERE host_label IS NULL)
-  UNION ALL SELECT 'ingestion_completeness', (SELECT count(*) FROM ev WHERE event_id IS NULL))""")
+  UNION ALL SELECT 'host_clock_provenance', (SELECT count(DISTINCT host_label) FROM resources)
+  UNION ALL SELECT 'ingestion_completeness', (SELECT count(*) FROM ev WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'))""")
 
 # Streams --------------------------------------------------------------------------------------
 

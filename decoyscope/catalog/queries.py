@@ -722,10 +722,12 @@ def export_rows(spark, sf_dir):
 @query
 def measurement_status(spark, sf_dir):
     scored = _stored_scored(spark, sf_dir)
-    samples = _samples(spark, sf_dir)
+    samples, resources = _samples(spark, sf_dir), _resources(spark, sf_dir)
+    ids = Q.sensor_ids(G.sensor_lines(spark, sf_dir), datetime(2024, 1, 5), datetime(2024, 1, 25))
     return E.measurement_status(
         E.cohort_overview(scored), E.cohort_measurements(scored),
-        E.ingestion_measurements(scored, samples, settings=SETTINGS), resources=Q.resource_summary(_resources(spark, sf_dir)),
+        E.ingestion_measurements(scored, samples, settings=SETTINGS), resources=Q.resource_summary(resources),
+        completeness=Q.completeness(ids, _stored(spark, sf_dir)), hosts=resources.where("host_label IS NOT NULL").select("host_label").distinct(),
     )
 
 

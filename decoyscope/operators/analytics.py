@@ -258,13 +258,6 @@ def experiment_view(experiments: DataFrame) -> DataFrame:
     return experiments.where("status IS NOT NULL").orderBy(F.desc("start_time")).select(*EXPERIMENT_VIEW_COLUMNS)
 
 
-def register_views(events: DataFrame, experiments: DataFrame) -> None:
-    for name in ("event_overview", "honeypot_activity", "source_ip_analysis", "protocol_distribution",
-                 "authentication_attempts", "attack_timeline"):
-        saved_view(name, events).createOrReplaceTempView(name)
-    experiment_view(experiments).createOrReplaceTempView("experiment_analysis")
-
-
 def internal_derived_counts(**tables: DataFrame) -> DataFrame:
     """Dry run of the cleanup: derived rows with a loopback source, per table."""
     return table_counts(**{name: df.where(is_loopback(F.col("source_ip"))) for name, df in tables.items()})

@@ -30,27 +30,6 @@ def histogram_stream(events: DataFrame, interval: str, lateness: str) -> DataFra
     return counted.select(F.col("_w.start").alias("bucket"), "count")
 
 
-def arrival_stream(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """Running count and last arrival of matching events per run, for update-mode sinks.
-
-    `runs` is the small table of runs being correlated. The aggregate combines map-side, so a run
-    that receives most of the traffic still sends one row per task.
-    """
-    targets = F.coalesce("target_honeypots", F.array().cast("array<string>"))
-    points = events.where(~is_internal()).select(
-        F.col("source.ip").alias("attacker_ip"), F.col("destination.ip").alias("target_ip"),
-        F.col("service.name").alias("service"), F.col("event.ingested").alias("ingested"), "ts",
-    )
-    windows = runs.select("experiment_id", "attacker_ip", "target_ip", "target_honeypots", "start_time", "end_time")
-    return (
-        points.join(windows, ["attacker_ip", "target_ip"])
-        .where(F.col("ts").between(F.col("start_time"), F.col("end_time")))
-        .where((F.size(targets) == 0) | F.array_contains(targets, F.col("service")))
-        .groupBy("experiment_id")
-        .agg(F.count("*").alias("matched_event_count"), F.max("ingested").alias("last_arrival"))
-    )
-
-
 def settle_watch(runs: DataFrame, arrivals: DataFrame, now: datetime | Column, settings: Settings = DEFAULTS) -> DataFrame:
     """State of every watched run at `now`: settled, timed_out or waiting."""
     instant = now if isinstance(now, Column) else F.lit(now)
