@@ -442,7 +442,7 @@ def report(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     A digest reads a conversation from its first turn to its last, so it is one task's work, in which one row is held at a time.
     """
     kind: T.DataType = turns.schema["conv_id"].dataType
-    rows = stored(damaged(turns), "damaged-turns")
+    rows = damaged(turns)
     found = audits(rows, block)
     digests = _behind_audits(rows, found).mapInArrow(_digests, "conv_text string, repaired_sha256 string")
     joined = found.join(digests.withColumnRenamed("conv_text", "conv_of"), F.col("conv_text").eqNullSafe(F.col("conv_of")))
