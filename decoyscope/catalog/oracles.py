@@ -567,7 +567,8 @@ oracle("inconclusive_experiments", ",".join([SCORED, COHORT]), "SELECT experimen
 oracle("evaluation_counts", SCORED, """
 SELECT count(*) FILTER (status = 'cancelled') AS cancelled_experiments,
        count(*) FILTER (status = 'completed' AND fingerprint IS NULL) AS excluded_incomplete_count FROM scored""")
-oracle("export_rows", SCORED, f"SELECT {', '.join(EXPORT_COLUMNS)} FROM scored WHERE status = 'completed'")
+for _name in ("export_rows", "exported_csv", "exported_json"):
+    oracle(_name, SCORED, f"SELECT {', '.join(EXPORT_COLUMNS)} FROM scored WHERE status = 'completed'")
 # Quality --------------------------------------------------------------------------------------
 
 IDS = """
@@ -596,7 +597,8 @@ def _resource(column: str, name: str) -> str:
             f"round(max({column}) + 1e-8, 6) AS {name}_max, round(quantile_cont({column}, 0.95) + 1e-8, 6) AS {name}_p95")
 
 
-oracle("resource_summary", ",".join([EV, RESOURCES]), f"""
+for _name in ("resource_summary", "scan_resource_csv"):
+    oracle(_name, ",".join([EV, RESOURCES]), f"""
 SELECT host_label, container_name, {_resource('cpu', 'cpu_percent')}, {_resource('mem', 'memory_usage_bytes')},
        {_resource('memp', 'memory_percent')}, greatest(count(*) FILTER (cpu_read), count(mem), count(memp)) AS sample_count
 FROM resources GROUP BY 1, 2""")

@@ -26,9 +26,11 @@ from decoyscope.operators import quality as Q
 from decoyscope.operators import sessions as W
 from decoyscope.plans.skew import latest_per_key
 from decoyscope.plans.tables import materialize, shared_folder
+from decoyscope.schemas import RESOURCE_CSV
 from decoyscope.settings import Settings, configure
 from decoyscope.sources import driver_tables as G
 from decoyscope.sources.jsonl import read_sensor_lines
+from decoyscope.sources.store import align, export_csv, export_json, read_resources
 from decoyscope.streaming import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -719,6 +721,29 @@ def export_rows(spark, sf_dir):
     return E.export_rows(_scored(spark, sf_dir))
 
 
+def _exported(spark, sf_dir, export, name):
+    """Path of the files that an export wrote, and the schema of its rows."""
+    scored = _stored_scored(spark, sf_dir)
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    export(scored, path)
+    return path, E.export_rows(scored).schema
+
+
+@query
+def exported_csv(spark, sf_dir):
+    """The CSV export, read back from its files; the list of unexpected types is never null, and CSV reads an empty text as null."""
+    path, schema = _exported(spark, sf_dir, export_csv, "export-csv")
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    return rows.withColumn("unexpected_detection_types", F.coalesce("unexpected_detection_types", F.lit("")))
+
+
+@query
+def exported_json(spark, sf_dir):
+    """The JSON export, read back from its files."""
+    path, schema = _exported(spark, sf_dir, export_json, "export-json")
+    return spark.read.schema(schema).json(path)
+
+
 @query
 def measurement_status(spark, sf_dir):
     scored = _stored_scored(spark, sf_dir)
@@ -768,6 +793,15 @@ def _resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def scan_resource_csv(spark, sf_dir):
+    """Resource summary over CSV files of the whole samples table."""
+    rows = align(_resources(spark, sf_dir), RESOURCE_CSV)
+    path = f"{shared_folder(spark).rstrip('/')}/resources-{uuid.uuid4().hex}"
+    rows.write.option("header", True).csv(path)
+    return Q.resource_summary(read_resources(spark, path))
+
+
 @query
 def resource_summary(spark, sf_dir):
     return Q.resource_summary(_resources(spark, sf_dir))
