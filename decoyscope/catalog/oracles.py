@@ -469,17 +469,20 @@ addresses AS (
 SELECT address, number, number > 167772160 AND number < 167772160 + 63 AS is_lab_host,
        number BETWEEN 167772160 AND 167772160 + 127 AS in_wide_subnet
 FROM addresses""")
-oracle("settle_status", IN_MATCHES + """,
+_SETTLE = IN_MATCHES + """,
 arrivals AS (
   SELECT experiment_id, greatest((epoch_us(m.ingested) - epoch_us(r.end_time)) / 1000000.0, 0) AS after
   FROM matched m JOIN runs r USING (experiment_id)),
 inside AS (SELECT * FROM arrivals WHERE after <= 25),
 gaps AS (SELECT *, lead(after) OVER (PARTITION BY experiment_id ORDER BY after) - after AS wait FROM inside),
 quiet AS (
-  SELECT experiment_id, count(*) AS n, min(after) FILTER (wait IS NULL OR wait > 3) + 3 AS at_s FROM gaps GROUP BY 1)""", """
-SELECT experiment_id, coalesce(at_s <= 25, false) AS telemetry_settled,
-       CAST(round(CASE WHEN at_s <= 25 THEN at_s ELSE 25 END + 1e-8, 6) AS DOUBLE) AS settle_wait_seconds, coalesce(quiet.n, 0) AS matched_event_count
-FROM runs LEFT JOIN quiet USING (experiment_id)""")
+  SELECT experiment_id, count(*) AS n, min(after) FILTER (wait IS NULL OR wait > 3) + 3 AS at_s FROM gaps GROUP BY 1),
+settled AS (
+  SELECT experiment_id, coalesce(at_s <= 25, false) AS telemetry_settled,
+         CAST(round(CASE WHEN at_s <= 25 THEN at_s ELSE 25 END + 1e-8, 6) AS DOUBLE) AS settle_wait_seconds, coalesce(quiet.n, 0) AS matched_event_count
+  FROM runs LEFT JOIN quiet USING (experiment_id))"""
+oracle("settle_status", _SETTLE, "SELECT * FROM settled")
+oracle("stream_settle_status", _SETTLE, "SELECT * EXCLUDE (matched_event_count) FROM settled")
 SAMPLES = """
 samples AS (
   SELECT DISTINCT experiment_id, event_id,

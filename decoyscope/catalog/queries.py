@@ -30,7 +30,7 @@ from decoyscope.schemas import RESOURCE_CSV
 from decoyscope.settings import Settings, configure
 from decoyscope.sources import driver_tables as G
 from decoyscope.sources.jsonl import read_sensor_lines
-from decoyscope.sources.store import align, export_csv, export_json, read_resources
+from decoyscope.sources.store import align, export_csv, export_json, read_resources, write_batch
 from decoyscope.streaming import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -908,3 +908,21 @@ def stream_sessions(spark, sf_dir):
     """Closed sessions: those whose end plus timeout the watermark has passed."""
     stream = panels.session_stream(_event_stream(spark, sf_dir), "10 minutes", SETTINGS)
     return _run_to_end(spark, stream, "sessions").select("session_id", "source_ip", "start_time", "end_time", "event_count")
+
+
+@query
+def stream_settle_status(spark, sf_dir):
+    """Settled or timed-out runs as the timer reports them: runs and events are joined as streams, then watched."""
+    root = f"{shared_folder(spark).rstrip('/')}/settle-{uuid.uuid4().hex}"
+    runs = _runs(spark, sf_dir).select("experiment_id", "attacker_ip", "target_ip", "target_honeypots", "start_time", "end_time")
+    runs.write.parquet(f"{root}/runs")
+    ended = spark.readStream.schema(runs.schema).parquet(f"{root}/runs")
+    arrivals = panels.run_arrivals(ended, _event_stream(spark, sf_dir), "2 days", "10 minutes", SETTINGS)
+    panels.arrival_stream(arrivals, f"{root}/arrivals", f"{root}/joined", SETTINGS, available_now=True).awaitTermination()
+    # A heartbeat on each side lets the watermark pass the last run's time limit.
+    later = F.max("end_time") + F.expr("INTERVAL 1 DAY")
+    beat = runs.agg(later.alias("end_time"), later.alias("ingested"))
+    beat.select("end_time").write.mode("append").parquet(f"{root}/runs")
+    write_batch(beat.withColumn("event_date", F.to_date("ingested")).withColumn("experiment_id", F.lit(None).cast("string")), f"{root}/arrivals", 0, "heartbeat")
+    seen = spark.readStream.schema(arrivals.schema).parquet(f"{root}/arrivals")
+    return _run_to_end(spark, panels.settle_stream(panels.settle_marks(seen, ended, "1 minute"), None, SETTINGS), "settle")

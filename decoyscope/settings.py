@@ -36,6 +36,9 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # State of streams off the heap; a batch uploads its changes only.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     for key, value in options.items():
         spark.conf.set(key, value)

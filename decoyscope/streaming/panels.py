@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from decoyscope.functions.values import seconds_between
+from decoyscope.operators.experiments import event_points
 from decoyscope.operators.sessions import is_internal, session_window_rollup
 from decoyscope.settings import DEFAULTS, Settings
+from decoyscope.sources.store import stream_writer, write_batch
 
 
 def session_stream(events: DataFrame, lateness: str, settings: Settings = DEFAULTS) -> DataFrame:
@@ -44,58 +45,161 @@ def settle_watch(runs: DataFrame, arrivals: DataFrame, now: datetime | Column, s
     )
 
 
-def settle_marks(arrivals: DataFrame, runs: DataFrame) -> DataFrame:
+def run_arrivals(runs: DataFrame, events: DataFrame, longest_run: str, lateness: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """(experiment_id, end_time, ingested) of every event of a run, both sides being streams.
+
+    Runs come in when they end. A run lasts at most `longest_run`, so an event is held for that long and a run
+    until the events have passed its end. Equality is on the route, a time slot and a salt: a run goes to each slot
+    it covers and to each salt, so neither a hot route nor a hot hour is one task's work or one key's state.
+    """
+    points = event_points(events).withWatermark("ts", lateness).withColumns({
+        "_slot": F.floor(F.unix_seconds("ts") / settings.match_slot_seconds),
+        "_salt": F.pmod(F.xxhash64("event_id"), F.lit(settings.spread)).cast("int"),
+    })
+    covered = F.sequence(*[F.floor(F.unix_seconds(name) / settings.match_slot_seconds) for name in ("start_time", "end_time")])
+    windows = (
+        runs.where("start_time <= end_time").select("experiment_id", "attacker_ip", "target_ip", "target_honeypots", "start_time", "end_time")
+        .withWatermark("end_time", lateness)
+        .withColumn("_slot", F.explode(covered))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(settings.spread - 1))))
+    )
+    keys = ("attacker_ip", "target_ip", "_slot", "_salt")
+    p, w = points.alias("p"), windows.alias("w")
+    targets = F.coalesce("w.target_honeypots", F.array().cast("array<string>"))
+    within = (
+        (F.col("p.ts") >= F.col("w.start_time")) & (F.col("p.ts") <= F.col("w.end_time"))
+        & (F.col("w.end_time") <= F.col("p.ts") + F.expr(f"INTERVAL {longest_run}"))
+    )
+    for key in keys:
+        within &= F.col(f"p.{key}") == F.col(f"w.{key}")
+    return (
+        p.join(w, within).where(((F.size(targets) == 0) | F.array_contains(targets, F.col("p.service"))) & F.col("p.ingested").isNotNull())
+        .select("w.experiment_id", "w.end_time", "p.ingested")
+    )
+
+
+def edge_arrivals(arrivals: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The first and last arrival of each quiet-period slot after a run's end, and of the time before it.
+
+    Gaps inside a slot never reach the quiet period, so these decide as all arrivals do; a hot run of
+    any size is a few rows, combined before they are shuffled. Arrivals after the time limit decide nothing.
+    """
+    after = F.greatest(F.unix_micros("ingested") - F.unix_micros("end_time"), F.lit(0))
+    edges = (
+        arrivals.where(after <= int(settings.settle_timeout_seconds * 1e6))
+        .groupBy("experiment_id", "end_time", F.floor(after / int(settings.settle_quiet_seconds * 1e6)).alias("_slot"))
+        .agg(F.array(F.min("ingested"), F.max("ingested")).alias("_edges"))
+    )
+    return edges.select("experiment_id", "end_time", F.explode(F.array_distinct("_edges")).alias("ingested"))
+
+
+def arrival_stream(arrivals: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS, available_now: bool = False) -> StreamingQuery:
+    """Keep the edges of each batch of `run_arrivals` in a daily table that `settle_marks` reads as a stream.
+
+    A replayed batch replaces its own files; copies it may leave for a reader decide nothing new.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        edges = edge_arrivals(batch, settings).withColumn("event_date", F.to_date("ingested"))
+        write_batch(edges, path, batch_id, stream_writer(batch))
+
+    writer = arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
+def settle_marks(arrivals: DataFrame, runs: DataFrame, lateness: str) -> DataFrame:
     """Input of settle_stream: a mark per run at its end, and one per matched arrival.
 
-    `arrivals` has experiment_id, end_time and ingested, `runs` experiment_id and end_time; both are streams.
+    `arrivals` has experiment_id, end_time and ingested, `runs` experiment_id and end_time; both are streams. Each has
+    a watermark of its own and the slower one counts, so arrivals that are stored late do not find their run reported.
+    A row without experiment_id is a heartbeat: it moves the watermark of its side and nothing else.
     """
     none = F.lit(None).cast("timestamp")
-    ends = runs.select("experiment_id", "end_time", none.alias("ingested"), F.col("end_time").alias("seen_at"))
-    return ends.unionByName(arrivals.where("ingested IS NOT NULL").select("experiment_id", "end_time", "ingested", F.col("ingested").alias("seen_at")))
+    ends = runs.where("end_time IS NOT NULL").select("experiment_id", "end_time", none.alias("ingested"), F.col("end_time").alias("seen_at"))
+    seen = arrivals.where("ingested IS NOT NULL").select("experiment_id", "end_time", "ingested", F.col("ingested").alias("seen_at"))
+    return ends.withWatermark("seen_at", lateness).unionByName(seen.withWatermark("seen_at", lateness))
 
 
-def settle_stream(marks: DataFrame, lateness: str, settings: Settings = DEFAULTS) -> DataFrame:
+class SettleTimer(StatefulProcessor):
+    """One row per run when it settles or its time is up, told by a timer on the watermark.
+
+    The state of a run is its end and its spans: first and last arrival of each quiet-period slot after the end, at
+    most timeout / quiet + 2 of them. Spans merge in any order, so rows out of order within the watermark's
+    delay change nothing. The timer stands at the first instant that could be the answer; once the watermark is past it no
+    arrival can move it. A reported run is remembered until its time limit, after which no mark of it is let in.
+    """
+
+    STATE = "end_us long, spans array<long>, timer_ms long, done boolean"
+    OUTPUT = "experiment_id string, telemetry_settled boolean, settle_wait_seconds double"
+
+    def __init__(self, quiet_us: int, limit_us: int):
+        self.quiet, self.limit = quiet_us, limit_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", self.STATE)
+
+    def _answer(self, spans: list[int]) -> tuple[bool, int]:
+        """Settled or not, and after how many microseconds, if nothing else arrives."""
+        for last, following in zip(spans[1::2], [*spans[2::2], None]):
+            if following is None or following - last > self.quiet:
+                wait = last + self.quiet
+                return (True, wait) if wait <= self.limit else (False, self.limit)
+        return False, self.limit
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        end, spans, timer, done = self.run.get() if self.run.exists() else (None, [], None, False)
+        if done:
+            return iter(())
+        slots = {first // self.quiet: (first, last) for first, last in zip(spans[::2], spans[1::2])}
+        for row in rows:
+            end = row.end_us if end is None else end
+            if row.arrival_us is None:
+                continue
+            after = max(row.arrival_us - end, 0)
+            if after <= self.limit:
+                first, last = slots.get(after // self.quiet, (after, after))
+                slots[after // self.quiet] = min(first, after), max(last, after)
+        spans = [edge for slot in sorted(slots) for edge in slots[slot]]
+        self._wait(end, spans, timer, end + self._answer(spans)[1], False)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        end, spans, timer, done = self.run.get()
+        over = (end + self.limit) // 1000 + 1
+        if done or over <= timerValues.getCurrentWatermarkInMs():
+            self.run.clear()
+        else:
+            self._wait(end, [], None, end + self.limit, True)
+        if done:
+            return iter(())
+        settled, wait = self._answer(spans)
+        return iter([Row(experiment_id=key[0], telemetry_settled=settled, settle_wait_seconds=wait / 1e6)])
+
+    def _wait(self, end: int, spans: list[int], timer: int | None, until_us: int, done: bool) -> None:
+        due = until_us // 1000 + 1
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.run.update((end, spans, due, done))
+
+
+def settle_stream(marks: DataFrame, lateness: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Each run once, when it settles or its time is up: (experiment_id, telemetry_settled, settle_wait_seconds).
 
-    One short state per run: its end, its last arrival and whether it was reported. A timer on the watermark
-    reports a run that has gone quiet or run out of time, and drops the state when the time limit is over.
+    `lateness` is for marks without a watermark. Of repeated runs the first end that is seen counts; a run without an
+    end is not watched. Needs the RocksDB state store, which `configure` sets.
     """
     quiet, limit = int(settings.settle_quiet_seconds * 1e6), int(settings.settle_timeout_seconds * 1e6)
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        end, last, done = state.get if state.exists else (None, None, False)
-        watermark = state.getCurrentWatermarkMs() * 1000
-        wait = None
-        if not state.hasTimedOut:
-            rows = pd.concat(list(batches)).sort_values("seen_us")
-            for end_us, arrival in zip(rows["end_us"], rows["arrival_us"]):
-                end = int(end_us) if end is None else end
-                if done or wait is not None or pd.isna(arrival) or arrival - end > limit:
-                    continue
-                arrival = max(int(arrival), end)
-                if last is not None and arrival - last > quiet:
-                    wait = last + quiet - end
-                last = arrival if wait is None else last
-        due = end + limit if last is None else min(last + quiet, end + limit)
-        if not done and wait is None and due <= watermark:
-            wait = due - end
-        if wait is not None:
-            done = True
-            settled = last is not None and last + quiet <= end + limit
-            yield pd.DataFrame([(key[0], settled, (wait if settled else limit) / 1e6)], columns=["experiment_id", "telemetry_settled", "settle_wait_seconds"])
-        if done and end + limit <= watermark:
-            if state.exists:
-                state.remove()
-            return
-        state.update((end, last, done))
-        state.setTimeoutTimestamp(max((end + limit if done else due) // 1000, watermark // 1000) + 1)
-
-    micros_of = {name: F.unix_micros(column) for name, column in {"end_us": "end_time", "arrival_us": "ingested", "seen_us": "seen_at"}.items()}
-    keyed = marks.withWatermark("seen_at", lateness).withColumns(micros_of).select("experiment_id", "seen_at", *micros_of)
-    return keyed.groupBy("experiment_id").applyInPandasWithState(
-        advance, "experiment_id string, telemetry_settled boolean, settle_wait_seconds double", "end_us long, last_us long, done boolean",
-        "append", "EventTimeTimeout",
-    )
+    timed = marks.withWatermark("seen_at", lateness) if lateness else marks
+    # The condition names seen_at, so it stays above the watermark, which all marks move.
+    watched = F.when(F.col("experiment_id").isNotNull(), F.col("end_time"))
+    inside = F.col("seen_at") <= watched + F.make_dt_interval(secs=F.lit(limit / 1e6))
+    micros_of = {"end_us": F.unix_micros("end_time"), "arrival_us": F.unix_micros("ingested")}
+    keyed = timed.where(inside).select("experiment_id", "seen_at", *[column.alias(name) for name, column in micros_of.items()])
+    return keyed.groupBy("experiment_id").transformWithState(SettleTimer(quiet, limit), SettleTimer.OUTPUT, "append", "EventTime")
 
 
 def run_metrics(query: StreamingQuery) -> dict[str, object]:

@@ -12,6 +12,7 @@ from conftest import at, make_events
 from pyspark.sql import functions as F
 
 from decoyscope.operators.detections import detect
+from decoyscope.operators.experiments import match_events, settle_status
 from decoyscope.operators.ingest import dedupe_events
 from decoyscope.operators.sessions import build_sessions
 from decoyscope.schemas import DEAD_LETTER, DETECTION, EVENT, SESSION
@@ -19,7 +20,7 @@ from decoyscope.sources.jsonl import stream_lines
 from decoyscope.sources.store import read_or_empty
 from decoyscope.streaming import processor
 from decoyscope.streaming.ingest import ingest_stream
-from decoyscope.streaming.panels import run_metrics, settle_stream, settle_watch
+from decoyscope.streaming.panels import arrival_stream, edge_arrivals, run_arrivals, run_metrics, settle_marks, settle_stream, settle_watch
 from decoyscope.streaming.processor import Store, compact_events, process_batch, process_stream, read_events
 
 LINE = {
@@ -184,6 +185,66 @@ def test_settle_stream_reports_every_run_once_as_the_batch_form_does(spark, tmp_
     assert running.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
 
 
+RUN = "experiment_id string, attacker_ip string, target_ip string, target_honeypots array<string>, start_time timestamp, end_time timestamp"
+
+
+def test_runs_and_events_joined_as_streams_settle_as_in_the_batch_form(spark, tmp_path):
+    source, target = "10.0.0.2", "192.168.50.10"
+    runs = [
+        ("quiet", source, target, None, at(0), at(60)), ("camera", source, target, ["camera"], at(0), at(60)), ("none", "10.0.0.9", target, [], at(0), at(60)),
+        ("day", source, target, [], at(0), at(86_400)), ("open", source, target, [], at(0), None), ("nowhere", None, target, [], at(0), at(60)),
+        ("backwards", source, target, [], at(60), at(0)),
+    ]
+    events = [
+        {"id": f"{service}{n}", "at": n, "service": service, "seen": seen}
+        for service, seen in (("camera", 62), ("cowrie", 64), ("cowrie", 70), ("camera", 61.5), ("cowrie", 66.9)) for n in (1, 30, 60)
+    ] + [{"id": "alone", "at": 86_399, "seen": 86_424.9}, {"id": "inside", "at": 50, "seen": 51, "internal": True}]
+    table, stored = make_events(spark, events), spark.createDataFrame(runs, RUN)
+    for name, frame in (("runs", stored), ("events", table)):
+        frame.write.parquet(str(tmp_path / name))
+
+    def stream(name, schema):
+        return spark.readStream.schema(schema).parquet(str(tmp_path / name))
+
+    arrivals = run_arrivals(stream("runs", stored.schema), stream("events", table.schema), "2 days", "10 minutes")
+    for _ in range(2):  # the second pass finds nothing new
+        arrival_stream(arrivals, str(tmp_path / "arrivals"), str(tmp_path / "joined"), available_now=True).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "arrivals"))
+    matched = match_events(stored, table, carry=["end_time"]).select("experiment_id", F.col("run_end_time").alias("end_time"), "ingested")
+    columns = ["experiment_id", "end_time", "ingested"]
+    assert sorted(found.select(columns).collect()) == sorted(edge_arrivals(matched).select(columns).collect()) and found.count() < matched.count()
+
+    beat = spark.createDataFrame([(None, at(200_000), at(200_000))], "experiment_id string, end_time timestamp, ingested timestamp")
+    beat.select("end_time").write.mode("append").parquet(str(tmp_path / "runs"))
+    beat.selectExpr("*", "date('2026-01-03') event_date", "'beat' writer", "0L batch_id").write.mode("append").partitionBy("event_date", "writer", "batch_id").parquet(str(tmp_path / "arrivals"))
+    reports = settle_stream(settle_marks(stream("arrivals", arrivals.schema), stream("runs", stored.schema), "1 minute"))
+    for n in range(2):
+        running = reports.writeStream.format("parquet").option("path", str(tmp_path / "settled")).option("checkpointLocation", str(tmp_path / "progress"))
+        running = running.trigger(availableNow=True).start()
+        running.awaitTermination()
+    reported = sorted(tuple(row) for row in spark.read.schema(reports.schema).parquet(str(tmp_path / "settled")).collect())
+    expected = settle_status(stored.where("end_time IS NOT NULL"), table).drop("matched_event_count")
+    assert reported == sorted(tuple(row) for row in expected.collect()) and len(reported) == 6 and {row[1] for row in reported} == {True, False}
+
+
+def test_marks_out_of_order_settle_alike_and_leave_no_state(spark, tmp_path):
+    waits = [9, 2, 0.5, 4.9, 20, -3, 7.5, 2.0]  # quiet from 9 on
+    marks = [("a", at(100), at(100 + wait), at(100 + wait)) for wait in waits]
+    marks += [("a", at(100), None, at(100)), ("a", at(100), at(140), at(140)), ("z", at(1000), None, at(1000))]
+    marks += [("a", at(100), at(101), at(101)), ("y", at(2000), None, at(2000)), (None, at(3000), None, at(3000))]
+    for n, mark in enumerate(marks):  # one mark per micro-batch
+        spark.createDataFrame([mark], "experiment_id string, end_time timestamp, ingested timestamp, seen_at timestamp").coalesce(1).write.parquet(str(tmp_path / f"in{n:03d}"))
+        os.utime(next((tmp_path / f"in{n:03d}").glob("part-*")), (1_000_000 + n, 1_000_000 + n))
+    schema = "experiment_id string, end_time timestamp, ingested timestamp, seen_at timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    running = settle_stream(stream, "30 seconds").writeStream.format("memory").queryName("disordered").outputMode("append")
+    running = running.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    rows = sorted(tuple(row) for row in spark.table("disordered").collect())
+    assert rows == [("a", True, 12.0), ("y", False, 25.0), ("z", False, 25.0)]
+    assert running.lastProgress["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) <= 1
+
+
 def _same_as_a_rebuild(spark, store, rows):
     expected = build_sessions(make_events(spark, rows))
     assert sorted(read_or_empty(spark, store.sessions, SESSION).collect()) == sorted(expected.collect())
