@@ -634,3 +634,8 @@ WHERE bucket + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - I
 oracle("stream_sessions", IN_SESSIONS, """
 SELECT session_id, source_ip, start_time, end_time, event_count FROM sess
 WHERE end_time + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM ev)""")
+oracle("compacted_events", ",".join([EV, REASONED]), "SELECT DISTINCT kept_id AS event_id, ts, source_ip, service FROM verdicts WHERE reason IS NULL")
+oracle("compacted_letters", ",".join([EV, REASONED]), """
+SELECT ingested AS seen_at, reason, 'sensor-01' AS sensor_id,
+       CAST(CASE WHEN reason = 'json_parse_failure' THEN ingested ELSE ts END AS DATE) AS day
+FROM verdicts WHERE reason IS NOT NULL""")

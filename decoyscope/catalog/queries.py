@@ -926,3 +926,43 @@ def stream_settle_status(spark, sf_dir):
     write_batch(beat.withColumn("event_date", F.to_date("ingested")).withColumn("experiment_id", F.lit(None).cast("string")), f"{root}/arrivals", 0, "heartbeat")
     seen = spark.readStream.schema(arrivals.schema).parquet(f"{root}/arrivals")
     return _run_to_end(spark, panels.settle_stream(panels.settle_marks(seen, ended, "1 minute"), None, SETTINGS), "settle")
+
+
+def _compacted(spark, sf_dir, rows_of, table, schema, compact):
+    """A store's table that got the sensor lines in three batches, the first of them twice where copies count once, after compaction."""
+    from decoyscope.sources.store import read_or_empty
+    from decoyscope.streaming.processor import Store
+
+    store = Store(f"{shared_folder(spark).rstrip('/')}/compacted-{uuid.uuid4().hex}")
+    path = getattr(store, table)
+    lines = materialize(_normalized(spark, sf_dir).withColumn("_part", F.pmod(F.xxhash64("raw"), F.lit(3))), "normalized")
+    for n, writer in ((0, "north"), (1, "north"), (0, "south"), (0, "again")):
+        part = 2 if writer == "south" else n
+        if writer != "again" or table == "raw_events":
+            write_batch(rows_of(lines.where(F.col("_part") == part).drop("_part")), path, n, writer)
+    for _ in range(2):  # the second pass finds nothing to do
+        compact(spark, store, F.lit("9999-01-01").cast("date"))
+    return read_or_empty(spark, path, schema)
+
+
+@query
+def compacted_events(spark, sf_dir):
+    """Stored raw events after compaction, read as they are."""
+    from decoyscope.schemas import EVENT
+    from decoyscope.streaming.processor import compact_events
+
+    def compact(spark, store, before):
+        compact_events(spark, store, before, store.raw_events)
+
+    stored = _compacted(spark, sf_dir, I.valid_events, "raw_events", EVENT, compact)
+    return stored.select(F.col("event.id").alias("event_id"), "ts", F.col("source.ip").alias("source_ip"), F.col("service.name").alias("service"))
+
+
+@query
+def compacted_letters(spark, sf_dir):
+    """Stored dead letters after compaction."""
+    from decoyscope.schemas import DEAD_LETTER
+    from decoyscope.streaming.processor import compact_letters
+
+    stored = _compacted(spark, sf_dir, I.dead_letters, "dead_letters", DEAD_LETTER, compact_letters)
+    return stored.select("seen_at", "reason", "sensor_id", F.col("event_date").alias("day"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decoyscope.operators.evaluation import export_rows
 from decoyscope.plans.skew import latest_per_key
-from decoyscope.plans.tables import Scratch, delete_path
+from decoyscope.plans.tables import Scratch, delete_path, path_exists
 from decoyscope.schemas import GROUND_TRUTH, RESOURCE_CSV
 
 
@@ -40,39 +40,71 @@ def stream_writer(batch: DataFrame) -> str:
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, writer: str) -> None:
+PARTS = ("event_date", "writer", "batch_id")
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, writer: str, order: Sequence[str] = (), options: dict[str, str] | None = None) -> None:
     """Idempotent append of one micro-batch: replaying a writer's batch replaces exactly that batch's files.
 
     Batch ids begin at 0 in every stream, so the writer is part of the partition: several streams, or a
-    stream that begins anew with a new checkpoint, share a table without touching each other's rows.
+    stream that begins anew with a new checkpoint, share a table without touching each other's rows. Files are sorted by `order`.
     """
-    (
-        df.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")})
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "writer", "batch_id").parquet(path)
-    )
+    rows = df.withColumns({"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")})
+    if order:  # partition columns first: the writer would sort by them alone otherwise
+        rows = rows.sortWithinPartitions(*PARTS, *order)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**(options or {})).partitionBy(*PARTS).parquet(path)
+
+
+def _finish_compaction(spark: SparkSession, path: str) -> None:
+    """End a compaction, or one that stopped halfway: written in full, what it merged goes; otherwise what it wrote."""
+    root = path.rstrip("/")
+    if path_exists(spark, f"{root}/_compaction/plan/_SUCCESS"):
+        written = path_exists(spark, f"{root}/_compaction/written/_SUCCESS")
+        for row in spark.read.schema(_PLAN).parquet(f"{root}/_compaction/plan").toLocalIterator():
+            writer, batch = (row.writer, row.batch_id) if written else (COMPACTED, row.target)
+            delete_path(spark, f"{root}/event_date={row.day}/writer={writer}/batch_id={batch}")
+    delete_path(spark, f"{root}/_compaction")
 
 
-def compact_days(spark: SparkSession, path: str, schema: T.StructType, one_row: Callable[[DataFrame], DataFrame], days: DataFrame) -> None:
-    """Rewrite whole days of a batch table as one partition each, one row per key, and drop the merged partitions.
+def compact_days(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    before: Column,
+    cluster: Sequence[str],
+    one_row: Callable[[DataFrame], DataFrame] | None = None,
+    lookup: str | None = None,
+) -> None:
+    """Rewrite all days before `before` that have several batches as one partition each, in one job, and drop the merged batches.
 
-    `one_row` reduces copies; `days` has a column event_date of days that no stream writes any more. Readers that
-    look between the write and the removal see copies, which they reduce anyway; a repeat after a failure ends the same.
+    No stream may write such a day, or have still to read it, any more. `one_row` reduces copies. Files are cut and sorted by
+    `cluster`, so their minima and maxima tell which ones a filter on it can skip, however many rows one value has;
+    `lookup` gets a Bloom filter per row group. A plan written beforehand lists what is merged: a repeat after a
+    failure first ends or takes back what was begun, so no row is merged twice. Until the merged batches are gone, a
+    reader of such a day sees its rows in both.
     """
-    wanted = [row.day for row in days.select(F.date_format("event_date", "yyyy-MM-dd").alias("day")).distinct().collect()]  # a list of days
+    root = path.rstrip("/")
+    _finish_compaction(spark, path)
     full = T.StructType([*schema.fields, T.StructField("writer", T.StringType()), T.StructField("batch_id", T.LongType())])
-    for day in wanted:
-        held = read_or_empty(spark, path, full).where(F.col("event_date") == F.lit(day).cast("date"))
-        parts = [(row.writer, row.batch_id) for row in held.select("writer", "batch_id").distinct().collect()]
-        if len(parts) < 2:
-            continue
+    held = read_or_empty(spark, path, full).where(F.col("event_date") < before)
+    batches = held.select(*PARTS).distinct()
+    several = batches.withColumn("_n", F.count("*").over(Window.partitionBy("event_date"))).where("_n > 1")
+    target = batches.agg(F.max(F.when(F.col("writer") == COMPACTED, F.col("batch_id"))).alias("last")).first().last
+    target = 0 if target is None else target + 1
+    plan = several.select(F.date_format("event_date", "yyyy-MM-dd").alias("day"), F.lit(target).cast("bigint").alias("target"), "writer", "batch_id")
+    plan.coalesce(1).write.parquet(f"{root}/_compaction/plan")
+    days = [row.day for row in spark.read.schema(_PLAN).parquet(f"{root}/_compaction/plan").select("day").distinct().toLocalIterator()]  # a list of days
+    if days:
+        rows = held.where(F.col("event_date").isin([F.lit(day).cast("date") for day in days])).select(*schema.fieldNames())
         with Scratch(spark) as keep:
-            merged = keep(one_row(held.select(*schema.fieldNames())), "day")
-            write_batch(merged, path, max(batch for writer, batch in parts if writer == COMPACTED) + 1 if COMPACTED in dict(parts) else 0, COMPACTED)
-        for writer, batch in parts:
-            delete_path(spark, f"{path.rstrip('/')}/event_date={day}/writer={writer}/batch_id={batch}")
+            merged = keep(one_row(rows), "days") if one_row else rows  # written down before it is sampled for the ranges
+            bloom = {f"parquet.bloom.filter.enabled#{lookup}": "true"} if lookup else {}
+            write_batch(merged.repartitionByRange("event_date", *cluster), path, target, COMPACTED, cluster, bloom)
+        spark.range(1).coalesce(1).write.parquet(f"{root}/_compaction/written")
+    _finish_compaction(spark, path)
 
 
+_PLAN = "day string, target long, writer string, batch_id long"
 COMPACTED = "compacted"
 
 

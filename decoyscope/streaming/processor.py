@@ -17,9 +17,9 @@ from decoyscope.operators.sessions import (
     CELL_KEYS, chain_cells, event_slot, external_events, flat_events, merge_cells, session_cells, session_paths, slot_start,
 )
 from decoyscope.plans.tables import delete_path
-from decoyscope.schemas import DETECTION, EVENT, SESSION, SESSION_CELL, SESSION_PATH
+from decoyscope.schemas import DEAD_LETTER, DETECTION, EVENT, SESSION, SESSION_CELL, SESSION_PATH
 from decoyscope.settings import DEFAULTS, Settings
-from decoyscope.sources.store import compact_days, read_days, read_or_empty, stream_writer, upsert, write_batch
+from decoyscope.sources.store import COMPACTED, compact_days, read_days, read_or_empty, stream_writer, upsert, write_batch
 
 
 @dataclass(frozen=True)
@@ -67,10 +67,30 @@ def read_events(spark: SparkSession, store: Store) -> DataFrame:
     return dedupe_events(read_or_empty(spark, store.events, EVENT))
 
 
-def compact_events(spark: SparkSession, store: Store, before: Column) -> None:
-    """One partition and one row per (day, id) for every stored day before the given date."""
-    days = read_or_empty(spark, store.events, EVENT).select("event_date").where(F.col("event_date") < before).distinct()
-    compact_days(spark, store.events, EVENT, dedupe_events, days)
+EVENT_CLUSTER = ("source.ip", "ts")
+LETTER_CLUSTER = ("reason", "seen_at")
+
+
+def compact_events(spark: SparkSession, store: Store, before: Column, path: str | None = None) -> None:
+    """One partition and one row per (day, id) for every stored day before the given date, by source and time.
+
+    For the processor's events, or for another event table of the store such as `raw_events`.
+    """
+    compact_days(spark, path or store.events, EVENT, before, EVENT_CLUSTER, dedupe_events, "event.id")
+
+
+def compact_letters(spark: SparkSession, store: Store, before: Column) -> None:
+    """One partition for every day of dead letters before the given date, by reason and time; no letter is dropped."""
+    compact_days(spark, store.dead_letters, DEAD_LETTER, before, LETTER_CLUSTER)
+
+
+def stream_raw_events(spark: SparkSession, store: Store) -> DataFrame:
+    """`raw_events` as a stream for the processor, without what compaction wrote again.
+
+    Compact only days whose rows every reading stream has read, for their first files go.
+    """
+    writer = StructType([*EVENT.fields, StructField("writer", StringType())])
+    return spark.readStream.schema(writer).parquet(store.raw_events).where(F.col("writer") != COMPACTED).drop("writer")
 
 
 def _literal_days(frame: DataFrame, day: Column) -> Column:

@@ -16,12 +16,13 @@ from decoyscope.operators.experiments import match_events, settle_status
 from decoyscope.operators.ingest import dedupe_events
 from decoyscope.operators.sessions import build_sessions
 from decoyscope.schemas import DEAD_LETTER, DETECTION, EVENT, SESSION
+from decoyscope.sources import store as table_store
 from decoyscope.sources.jsonl import stream_lines
-from decoyscope.sources.store import read_or_empty
+from decoyscope.sources.store import read_or_empty, write_batch
 from decoyscope.streaming import processor
 from decoyscope.streaming.ingest import ingest_stream
 from decoyscope.streaming.panels import arrival_stream, edge_arrivals, run_arrivals, run_metrics, settle_marks, settle_stream, settle_watch
-from decoyscope.streaming.processor import Store, compact_events, process_batch, process_stream, read_events
+from decoyscope.streaming.processor import Store, compact_events, compact_letters, process_batch, process_stream, read_events, stream_raw_events
 
 LINE = {
     "event_id": "e1", "timestamp": "2026-03-05T06:07:08Z", "service": "router", "protocol": "tcp", "honeypot_id": "lab-router-7", "honeypot_type": "router",
@@ -157,6 +158,87 @@ def test_compaction_leaves_one_partition_and_one_row_per_id(spark, tmp_path):
     assert read_or_empty(spark, store.events, EVENT).count() == 6
 
 
+def _files(path):
+    return sorted(Path(path).rglob("part-*.parquet"))
+
+
+def _scanned(frame):
+    """Rows that the file scans of a collected frame gave."""
+    node, total = frame._jdf.queryExecution().executedPlan(), 0
+    nodes = [node.finalPhysicalPlan() if "AdaptiveSparkPlan" in node.nodeName() else node]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        nodes += [node.children().apply(n) for n in range(node.children().size())]
+    return total
+
+
+def test_compacted_days_are_clustered_and_skip_files(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    for n in range(6):
+        rows = [{"id": f"{n}-{k}-{'even' if k % 2 else 'odd'}", "at": 3000 * k + n, "ip": f"10.0.{k % 7}.{n}"} for k in range(60)]  # two days
+        write_batch(make_events(spark, rows), store.raw_events, n, "north")
+    before = len(_files(store.raw_events))
+    expected = sorted(r.event.id for r in read_or_empty(spark, store.raw_events, EVENT).collect())
+    # Small results stay apart here as they would at size.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        compact_events(spark, store, F.lit("2027-01-01").cast("date"), store.raw_events)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = _files(store.raw_events)
+    assert len(files) < before / 2 and {f.parent.parent.name for f in files} == {"writer=compacted"} and len({f.parts[-4] for f in files}) == 3
+    stored = read_or_empty(spark, store.raw_events, EVENT)
+    assert sorted(r.event.id for r in stored.collect()) == expected
+    for path in files:
+        sources = [(r.ip, r.ts) for r in spark.read.parquet(str(path)).select("source.ip", "ts").collect()]
+        assert sources == sorted(sources)
+    for wanted, found in ((F.col("event.id") == "3-30-odd", 1), (F.col("event.id") == "3-30-nowhere", 0), (F.col("source.ip") == "10.0.4.2", 8)):
+        frame = read_or_empty(spark, store.raw_events, EVENT).where(wanted).select("event.id", "source.ip", "ts")
+        assert len(frame.collect()) == found and _scanned(frame) < len(expected) / 2
+
+
+@pytest.mark.parametrize("stop", ["write_batch", "delete_path"])
+def test_a_compaction_that_stopped_halfway_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, stop):
+    path, schema = str(tmp_path / "letters"), DEAD_LETTER
+    fields = "seen_at timestamp, tags array<string>, reason string, sensor_id string, raw string, event_date date"
+    for n in range(3):  # equal letters are letters of their own
+        write_batch(spark.createDataFrame([(at(1), ["t"], "r", "s", "same", at(d * 86_400).date()) for d in range(2)], fields), path, n, "north")
+    real = getattr(table_store, stop)
+
+    def failing(*values, **named):
+        if stop == "write_batch":
+            real(values[0].where("event_date = '2026-01-01'"), *values[1:], **named)  # one day of two gets through
+            raise OSError("lost")
+        real(*values, **named)
+        if "batch_id=" in values[1]:
+            raise OSError("lost")
+
+    store = Store(str(tmp_path))
+    monkeypatch.setattr(Store, "dead_letters", path)
+    monkeypatch.setattr(table_store, stop, failing)
+    with pytest.raises(OSError):
+        compact_letters(spark, store, F.lit("2027-01-01").cast("date"))
+    monkeypatch.setattr(table_store, stop, real)
+    for _ in range(2):
+        compact_letters(spark, store, F.lit("2027-01-01").cast("date"))
+        rows = read_or_empty(spark, path, schema).groupBy("event_date").count().collect()
+        assert sorted(r["count"] for r in rows) == [3, 3] and {f.parent.parent.name for f in _files(path)} == {"writer=compacted"}
+    assert not (tmp_path / "letters" / "_compaction").exists()
+
+
+def test_compacted_raw_events_are_not_processed_again(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    for n in range(2):
+        write_batch(make_events(spark, [{"id": f"{n}{k}", "at": 10 * n + k} for k in range(3)]), store.raw_events, n, "north")
+        process_stream(stream_raw_events(spark, store), store, str(tmp_path / "progress"), available_now=True).awaitTermination()
+    compact_events(spark, store, F.lit("2027-01-01").cast("date"), store.raw_events)
+    parts = len(_files(store.events))
+    process_stream(stream_raw_events(spark, store), store, str(tmp_path / "progress"), available_now=True).awaitTermination()
+    assert len(_files(store.events)) == parts and read_events(spark, store).count() == read_or_empty(spark, store.raw_events, EVENT).count() == 6
+
+
 def test_settle_stream_reports_every_run_once_as_the_batch_form_does(spark, tmp_path):
     waits = {"a": [0.5, 2], "b": [], "c": [1, 3.5, 9, 20], "d": [2 * k for k in range(14)], "e": [-5, 24.5], "f": [26]}
     schema = "experiment_id string, end_time timestamp, ingested timestamp, seen_at timestamp"
