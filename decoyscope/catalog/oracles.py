@@ -639,3 +639,9 @@ oracle("compacted_letters", ",".join([EV, REASONED]), """
 SELECT ingested AS seen_at, reason, 'sensor-01' AS sensor_id,
        CAST(CASE WHEN reason = 'json_parse_failure' THEN ingested ELSE ts END AS DATE) AS day
 FROM verdicts WHERE reason IS NOT NULL""")
+oracle("rollup_histograms", EV, "\nUNION ALL\n".join(
+    f"SELECT '{interval}' AS width, time_bucket(INTERVAL '{interval}', ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS count FROM ext GROUP BY ALL"
+    for interval in ("1 minute", "10 minutes", "1 hour", "12 hours", "1 day", "7 days")))
+oracle("rollup_unique_sources", EV, """
+SELECT CAST(d.day + n.n AS DATE) AS last_day, count(DISTINCT source_ip) AS unique_sources, true AS within_error
+FROM (SELECT DISTINCT CAST(ts AS DATE) AS day, source_ip FROM ext) d CROSS JOIN (SELECT CAST(range AS INTEGER) AS n FROM range(7)) n GROUP BY 1""")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -966,3 +967,42 @@ def compacted_letters(spark, sf_dir):
 
     stored = _compacted(spark, sf_dir, I.dead_letters, "dead_letters", DEAD_LETTER, compact_letters)
     return stored.select("seen_at", "reason", "sensor_id", F.col("event_date").alias("day"))
+
+
+def _rolled_up(spark, sf_dir):
+    """Rollups of the events table from two micro-batches, the second with late rows and an older copy of all of the first."""
+    from decoyscope.streaming.rollups import Rollups, compact_rollups, rollup_stream
+
+    root = f"{shared_folder(spark).rstrip('/')}/rollups-{uuid.uuid4().hex}"
+    rollups, events = Rollups(f"{root}/store"), _events(spark, sf_dir)
+    part = F.pmod(F.xxhash64("event.id"), F.lit(2))
+    earlier = F.col("event").withField("ingested", F.col("event.ingested") - F.expr("INTERVAL 1 HOUR"))
+    moved = events.where(part == 0).withColumns({"event": earlier, "ts": F.date_trunc("day", "ts")})
+    for arrivals in (moved, events):
+        arrivals.write.mode("append").parquet(f"{root}/arrivals")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/arrivals")
+        rollup_stream(stream, rollups, f"{root}/progress", available_now=True).awaitTermination()
+    compact_rollups(spark, rollups, F.lit("2024-01-15").cast("date"))
+    return rollups
+
+
+@query
+def rollup_histograms(spark, sf_dir):
+    """All six histograms summed from stored minutes."""
+    from decoyscope.streaming.rollups import minute_counts, rolled_histogram
+
+    minutes = materialize(minute_counts(spark, _rolled_up(spark, sf_dir)), "minutes")
+    parts = [rolled_histogram(minutes, interval).withColumn("width", F.lit(interval)) for interval in HISTOGRAM_QUERIES.values()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def rollup_unique_sources(spark, sf_dir):
+    """Exact distinct sources of each week, and whether the week's merged sketch is within 3 % of them."""
+    from decoyscope.streaming.rollups import source_windows
+
+    estimated = source_windows(spark, _rolled_up(spark, sf_dir), 7).withColumnRenamed("unique_sources", "estimate")
+    days = _external(spark, sf_dir).select(F.to_date("ts").alias("day"), F.col("source.ip").alias("ip")).distinct()
+    exact = days.select("ip", F.explode(F.sequence("day", F.date_add("day", 6))).alias("last_day")).groupBy("last_day").agg(F.count_distinct("ip").alias("unique_sources"))
+    close = F.abs(F.col("estimate") - F.col("unique_sources")) <= F.col("unique_sources") * 0.03
+    return exact.join(estimated, "last_day", "full").select("last_day", "unique_sources", close.alias("within_error"))
