@@ -645,3 +645,32 @@ oracle("rollup_histograms", EV, "\nUNION ALL\n".join(
 oracle("rollup_unique_sources", EV, """
 SELECT CAST(d.day + n.n AS DATE) AS last_day, count(DISTINCT source_ip) AS unique_sources, true AS within_error
 FROM (SELECT DISTINCT CAST(ts AS DATE) AS day, source_ip FROM ext) d CROSS JOIN (SELECT CAST(range AS INTEGER) AS n FROM range(7)) n GROUP BY 1""")
+oracle("stored_cleanup", ",".join([EV, LEGACY]), """
+SELECT run, table_name, CASE WHEN run = 'after' THEN 0 ELSE count(*) FILTER (source_ip LIKE '127.%' AND n > least_n) END AS rows
+FROM (VALUES ('sessions', 0), ('detections', 3), ('session_cells', 1e18), ('session_paths', 1e18)) t(table_name, least_n)
+CROSS JOIN (VALUES ('before'), ('after')) r(run) LEFT JOIN legacy ON true GROUP BY 1, 2""")
+oracle("stored_cleanup_rows", ",".join([EV, LEGACY]), """
+SELECT 'sessions' AS table_name, source_ip, day, n FROM legacy WHERE source_ip NOT LIKE '127.%'
+UNION ALL SELECT 'detections', source_ip, day, n FROM legacy WHERE source_ip NOT LIKE '127.%' AND n > 3""")
+_DAILY = MEASURED.replace("scenario_id, unnest", "scenario_id, CAST(end_time AS DATE) AS day, unnest")
+oracle("rollup_quantiles", ",".join([SCORED, COHORT, SAMPLES, _DAILY]), """
+SELECT CAST(day + n AS DATE) AS last_day, evaluation_config_fingerprint, scenario_id, measurement, count(*) AS count, true AS within_error
+FROM (SELECT * FROM measured UNION ALL BY NAME
+      SELECT fingerprint AS evaluation_config_fingerprint, scenario_id, CAST(end_time AS DATE) AS day, 'ingestion_latency' AS measurement, sample
+      FROM cohort JOIN samples USING (experiment_id))
+CROSS JOIN (SELECT CAST(range AS INTEGER) AS n FROM range(7)) WHERE sample IS NOT NULL GROUP BY 1, 2, 3, 4""")
+_COPIES = """
+copies AS (
+  SELECT *, CASE WHEN CAST(extract(second FROM ingested) AS INTEGER) % 7 = 0 THEN 2 ELSE 1 END AS copies FROM verdicts)"""
+oracle("stream_ingest_tables", ",".join([EV, REASONED, _COPIES]), """
+SELECT 'raw_events' AS table_name, kept_id AS item, CAST(ts AS DATE) AS day FROM copies WHERE reason IS NULL
+UNION ALL SELECT 'dead_letters', reason, CASE WHEN reason <> 'json_parse_failure' THEN CAST(ts AS DATE) END
+FROM copies CROSS JOIN range(2) WHERE reason IS NOT NULL AND range < copies""")
+oracle("stream_ingest_metrics", ",".join([EV, REASONED, _COPIES]), """
+SELECT 'lines' AS metric, CAST(sum(copies) AS BIGINT) AS count FROM copies
+UNION ALL SELECT 'valid', CAST(sum(copies) FILTER (reason IS NULL) AS BIGINT) FROM copies
+UNION ALL SELECT 'rejected', CAST(sum(copies) FILTER (reason IS NOT NULL) AS BIGINT) FROM copies
+UNION ALL SELECT unnest(['stored', 'table raw_events']), count(*) FILTER (reason IS NULL) FROM copies
+UNION ALL SELECT 'repeated', CAST(sum(copies - 1) FILTER (reason IS NULL) AS BIGINT) FROM copies
+UNION ALL SELECT 'table dead_letters', CAST(sum(copies) FILTER (reason IS NOT NULL) AS BIGINT) FROM copies
+UNION ALL SELECT 'reason ' || reason, CAST(sum(copies) AS BIGINT) FROM copies WHERE reason IS NOT NULL GROUP BY 1""")

@@ -30,7 +30,7 @@ from decoyscope.plans.tables import materialize, shared_folder
 from decoyscope.schemas import RESOURCE_CSV
 from decoyscope.settings import Settings, configure
 from decoyscope.sources import driver_tables as G
-from decoyscope.sources.jsonl import read_sensor_lines
+from decoyscope.sources.jsonl import read_sensor_lines, stream_sensor_lines
 from decoyscope.sources.store import align, export_csv, export_json, read_resources, write_batch
 from decoyscope.streaming import panels
 
@@ -509,18 +509,21 @@ def classify_interactions(spark, sf_dir):
     )
 
 
-@query
-def scan_sensor_files(spark, sf_dir):
-    """The lines as files, one folder per sensor input, read back with each folder's columns and validated."""
+def _sensor_files(spark, lines):
+    """Glob of one folder of files per sensor input, and the table that names each folder's columns."""
     root = f"{shared_folder(spark).rstrip('/')}/inputs-{uuid.uuid4().hex}"
-    lines = G.sensor_lines(spark, sf_dir)
     kind = F.when(F.col("honeypot_id").isNull(), "other").otherwise("cowrie")
     lines.select(kind.alias("input"), "value").write.partitionBy("input").text(root)
     folder = lambda name: F.lit(root.split(":", 1)[-1].replace("///", "/") + f"/input={name}")
     sensors = lines.select(kind.alias("input"), "sensor_id", "sensor_ip", "honeypot_id", "honeypot_type").distinct()
     sensors = sensors.select(F.when(F.col("input") == "cowrie", folder("cowrie")).otherwise(folder("other")).alias("directory"), *sensors.columns[1:])
-    read = read_sensor_lines(spark, f"{root}/input=*", sensors)
-    events = I.valid_events(I.normalize(read, observer="observer-01"))
+    return f"{root}/input=*", sensors
+
+
+@query
+def scan_sensor_files(spark, sf_dir):
+    """The lines as files, one folder per sensor input, read back with each folder's columns and validated."""
+    events = I.valid_events(I.normalize(read_sensor_lines(spark, *_sensor_files(spark, G.sensor_lines(spark, sf_dir))), observer="observer-01"))
     return _eventual(events).select("event_id", "ts", "category", "action", "source_ip", "protocol", "service", "honeypot")
 
 
@@ -1006,3 +1009,112 @@ def rollup_unique_sources(spark, sf_dir):
     exact = days.select("ip", F.explode(F.sequence("day", F.date_add("day", 6))).alias("last_day")).groupBy("last_day").agg(F.count_distinct("ip").alias("unique_sources"))
     close = F.abs(F.col("estimate") - F.col("unique_sources")) <= F.col("unique_sources") * 0.03
     return exact.join(estimated, "last_day", "full").select("last_day", "unique_sources", close.alias("within_error"))
+
+
+def _ingested(spark, sf_dir):
+    """A store that the ingest stream filled from sensor files in which some lines come twice, and the path of what it observed."""
+    from decoyscope.streaming.ingest import ingest_stream
+    from decoyscope.streaming.processor import Store
+
+    lines = G.sensor_lines(spark, sf_dir)
+    again = F.explode(F.array_repeat("value", F.when(F.second("ingested") % 7 == 0, 2).otherwise(1)))
+    paths, sensors = _sensor_files(spark, lines.withColumn("value", again))
+    root = f"{shared_folder(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    store, metrics = Store(f"{root}/store"), f"{root}/store/ingest_metrics"
+    stream = stream_sensor_lines(spark, paths, materialize(sensors, "sensors"), 100)
+    ingest_stream(stream, store.raw_events, store.dead_letters, f"{root}/progress", "observer-01", True, metrics).awaitTermination()
+    return store, metrics
+
+
+@query
+def stream_ingest_tables(spark, sf_dir):
+    """Rows of the two tables that the ingest stream routes to: id of an event or reason of a letter, and its day."""
+    from decoyscope.schemas import DEAD_LETTER, EVENT
+    from decoyscope.sources.store import read_or_empty
+
+    store, _ = _ingested(spark, sf_dir)
+    events = read_or_empty(spark, store.raw_events, EVENT).select(F.lit("raw_events").alias("table_name"), F.col("event.id").alias("item"), F.to_date("ts").alias("day"))
+    failed = F.col("reason") == "json_parse_failure"  # such a line has no time of its own: its day is the day it was read
+    day = F.when(~failed, F.col("event_date"))
+    letters = read_or_empty(spark, store.dead_letters, DEAD_LETTER).select(F.lit("dead_letters").alias("table_name"), F.col("reason").alias("item"), day.alias("day"))
+    return events.unionByName(letters.select("table_name", "item", "day"))
+
+
+@query
+def stream_ingest_metrics(spark, sf_dir):
+    """What the ingest stream observed, summed over its batches: lines by fate, rejected ones by reason, and rows of its tables."""
+    from decoyscope.schemas import DEAD_LETTER, EVENT
+    from decoyscope.sources.store import read_or_empty
+    from decoyscope.streaming.ingest import metric_totals, read_metrics, reason_totals
+
+    store, path = _ingested(spark, sf_dir)
+    metrics = materialize(read_metrics(spark, path), "metrics")
+    names = ("lines", "valid", "rejected", "stored", "repeated")
+    fates = metric_totals(metrics).select(F.inline(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(name).alias("count")) for name in names])))
+    reasons = reason_totals(metrics).select(F.concat(F.lit("reason "), "reason").alias("metric"), "count")
+    held = A.table_counts(raw_events=read_or_empty(spark, store.raw_events, EVENT), dead_letters=read_or_empty(spark, store.dead_letters, DEAD_LETTER))
+    return fates.unionByName(reasons).unionByName(held.select(F.concat(F.lit("table "), "table_name").alias("metric"), F.col("rows").alias("count")))
+
+
+def _cleaned(spark, sf_dir):
+    """A store with derived rows as an older release wrote them, without the internal filter, after its cleanup; and the counts before and after."""
+    from decoyscope.schemas import DETECTION, SESSION
+    from decoyscope.streaming.cleanup import clean_store, internal_rows
+    from decoyscope.streaming.processor import Store
+
+    store = Store(f"{shared_folder(spark).rstrip('/')}/legacy-{uuid.uuid4().hex}")
+    day = F.to_date("ts").alias("day")
+    counted = _events(spark, sf_dir).groupBy(F.col("source.ip").alias("source_ip"), day).agg(F.count("*").alias("n"))
+    name = F.concat_ws(" ", "source_ip", "day")
+    counted = materialize(counted.select("*", name.alias("session_id"), F.col("day").cast("timestamp").alias("start_time")), "legacy")
+    sessions = align(counted.withColumn("event_count", F.col("n")), SESSION).select(*SESSION.fieldNames(), "day")
+    found = counted.where("n > 3").withColumns({"detection_id": F.col("session_id"), "session_start": F.col("start_time"), "evidence_count": F.col("n")})
+    sessions.write.partitionBy("day").parquet(store.sessions)
+    align(found, DETECTION).select(*DETECTION.fieldNames(), "day").write.partitionBy("day").parquet(store.detections)
+    before = materialize(internal_rows(spark, store), "dry-run")
+    clean_store(spark, store)
+    after = materialize(internal_rows(spark, store), "dry-run")
+    clean_store(spark, store)  # finds nothing to do
+    return store, before, after
+
+
+@query
+def stored_cleanup(spark, sf_dir):
+    """Rows that the dry run finds before and after the cleanup of stored tables."""
+    _, before, after = _cleaned(spark, sf_dir)
+    return before.withColumn("run", F.lit("before")).unionByName(after.withColumn("run", F.lit("after"))).select("run", "table_name", "rows")
+
+
+@query
+def stored_cleanup_rows(spark, sf_dir):
+    """Rows that stay in the stored tables."""
+    from decoyscope.schemas import DETECTION, SESSION
+    from decoyscope.sources.store import read_days
+
+    store, _, _ = _cleaned(spark, sf_dir)
+    sessions = read_days(spark, store.sessions, SESSION).select(F.lit("sessions").alias("table_name"), "source_ip", "day", F.col("event_count").alias("n"))
+    detections = read_days(spark, store.detections, DETECTION).select(F.lit("detections").alias("table_name"), "source_ip", "day", F.col("evidence_count").alias("n"))
+    return sessions.unionByName(detections)
+
+
+@query
+def rollup_quantiles(spark, sf_dir):
+    """Samples of every week's merged sketches, and whether their median and 95th percentile are within 2 % of the wanted ranks.
+
+    Runs come in two micro-batches; the second repeats all runs of the first, which count once.
+    """
+    from decoyscope.streaming import quantiles as K
+
+    root = f"{shared_folder(spark).rstrip('/')}/quantiles-{uuid.uuid4().hex}"
+    store = K.QuantileStore(f"{root}/store")
+    samples = materialize(E.run_samples(_stored_scored(spark, sf_dir), _samples(spark, sf_dir), SETTINGS), "samples")
+    for arrivals in (samples.where(F.pmod(F.xxhash64("experiment_id"), F.lit(2)) == 0), samples):
+        arrivals.write.mode("append").parquet(f"{root}/arrivals")
+        stream = spark.readStream.schema(samples.schema).parquet(f"{root}/arrivals")
+        K.quantile_stream(stream, store, f"{root}/progress", available_now=True).awaitTermination()
+    K.compact_quantiles(spark, store, F.lit("2024-01-15").cast("date"))
+    merged = materialize(K.window_quantiles(spark, store, 7), "windows")
+    keys = ["last_day", *K.KEYS]
+    weekly = samples.where("sample IS NOT NULL").withColumn("last_day", F.explode(F.sequence("event_date", F.date_add("event_date", 6))))
+    errors = K.rank_errors(weekly, merged, keys)
+    return merged.join(errors, keys, "full").select(*keys, "count", ((F.col("rank_error") <= 0.02) & (F.col("samples") == F.col("count"))).alias("within_error"))

@@ -175,6 +175,14 @@ def _bad_number(text: str, reason: str, maximum: int) -> Column:
     )
 
 
+# Every reason that `rejection_reason` can give, in its order.
+REASONS = (
+    "json_parse_failure", "invalid_timestamp", "unresolved_interpolation", *[f"missing_{label}" for _, label in REQUIRED],
+    "invalid_source_ip", "invalid_destination_ip", "invalid_event_category_", "invalid_event_type_", "invalid_event_outcome_",
+    "invalid_port", "invalid_mqtt_packet_type",
+)
+
+
 def valid_events(normalized: DataFrame) -> DataFrame:
     return normalized.where("reason IS NULL").select(*[f.name for f in EVENT.fields])
 

@@ -138,11 +138,30 @@ def upsert(
         merged = latest_per_key(previous.unionByName(changes), ["day", *([key] if isinstance(key, str) else key)], ["_version"]).where("_keep").drop("_version", "_keep")
         # A written table first, then the swap: a day that lost all its rows is emptied as well.
         merged = keep(merged, "merged")
-        left = {row.day for row in merged.select(text).distinct().collect()}
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-        for day in set(days) - left:
-            blank = spark.createDataFrame([], schema)
-            blank.write.mode("overwrite").parquet(f"{path.rstrip('/')}/day={day}")
+        _replace_days(spark, merged, days, path, schema)
+
+
+def _replace_days(spark: SparkSession, rows: DataFrame, days: Sequence[str], path: str, schema: T.StructType) -> None:
+    """The given days of a keyed table hold exactly `rows`, a written table; a day without rows is emptied."""
+    left = {row.day for row in rows.select(F.date_format("day", "yyyy-MM-dd").alias("day")).distinct().collect()}
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for day in set(days) - left:
+        blank = spark.createDataFrame([], schema)
+        blank.write.mode("overwrite").parquet(f"{path.rstrip('/')}/day={day}")
+
+
+def delete_rows(spark: SparkSession, path: str, schema: T.StructType, unwanted: Column) -> None:
+    """Delete rows from a keyed table by rewriting only the days that hold any, without a shuffle.
+
+    A null condition keeps its row. Days are found from the columns that the condition reads. A failure halfway leaves
+    some days done and the others as they were; the same call again finishes, and rewrites nothing once all are done.
+    """
+    rows, gone = read_days(spark, path, schema), F.coalesce(unwanted, F.lit(False))
+    days = [row.day for row in rows.where(gone).select(F.date_format("day", "yyyy-MM-dd").alias("day")).distinct().collect()]  # a list of days
+    if days:
+        with Scratch(spark) as keep:
+            kept = keep(rows.where(F.col("day").isin([F.lit(day).cast("date") for day in days]) & ~gone), "kept")
+            _replace_days(spark, kept, days, path, schema)
 
 
 def read_days(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
