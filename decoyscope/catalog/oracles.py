@@ -674,3 +674,7 @@ UNION ALL SELECT unnest(['stored', 'table raw_events']), count(*) FILTER (reason
 UNION ALL SELECT 'repeated', CAST(sum(copies - 1) FILTER (reason IS NULL) AS BIGINT) FROM copies
 UNION ALL SELECT 'table dead_letters', CAST(sum(copies) FILTER (reason IS NOT NULL) AS BIGINT) FROM copies
 UNION ALL SELECT 'reason ' || reason, CAST(sum(copies) AS BIGINT) FROM copies WHERE reason IS NOT NULL GROUP BY 1""")
+oracle("running_top_sources", EV, """
+SELECT batches, source_ip AS name, count(*) AS count
+FROM ext JOIN (VALUES (1), (2)) b(batches) ON batches = 2 OR extract(day FROM ts) % 2 = 0 GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY batches ORDER BY count(*) DESC, source_ip) <= 10""")

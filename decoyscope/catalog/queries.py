@@ -1118,3 +1118,19 @@ def rollup_quantiles(spark, sf_dir):
     weekly = samples.where("sample IS NOT NULL").withColumn("last_day", F.explode(F.sequence("event_date", F.date_add("event_date", 6))))
     errors = K.rank_errors(weekly, merged, keys)
     return merged.join(errors, keys, "full").select(*keys, "count", ((F.col("rank_error") <= 0.02) & (F.col("samples") == F.col("count"))).alias("within_error"))
+
+
+@query
+def running_top_sources(spark, sf_dir):
+    """The ten most active sources after each of two micro-batches: even days first, then all days, so that the first come twice."""
+    from decoyscope.streaming.toplists import TopLists, compact_top_lists, top_names, top_stream
+
+    root = f"{shared_folder(spark).rstrip('/')}/toplists-{uuid.uuid4().hex}"
+    lists, events, shown = TopLists(f"{root}/store"), _events(spark, sf_dir), []
+    for number, arrivals in enumerate((events.where(F.dayofmonth("ts") % 2 == 0), events), 1):
+        arrivals.write.mode("append").parquet(f"{root}/arrivals")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/arrivals")
+        top_stream(stream, lists, f"{root}/progress", available_now=True).awaitTermination()
+        shown.append(materialize(top_names(spark, lists, 10).withColumn("batches", F.lit(number)), "top"))
+        compact_top_lists(spark, lists, F.lit("2024-01-15").cast("date"))
+    return shown[0].unionByName(shown[1])
