@@ -59,7 +59,8 @@ m AS ({" UNION ALL ".join(kinds)}), p AS (
   SELECT *, start + length(whole) AS stop FROM p WHERE (kind <> 'assign' OR length(val) >= {secret_scan.MIN_ASSIGNED}) AND (kind <> 'owned' OR
     (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')))
 ), o AS (
-  SELECT val, count(DISTINCT owner) > {secret_scan.MAX_OWNERS} OR count(DISTINCT doc_id) > {secret_scan.MAX_REPOSITORIES} AS copied FROM c GROUP BY val
+  SELECT val, n_owners > {secret_scan.MAX_OWNERS} OR n_owners > 1 AND n_repositories > {secret_scan.MAX_REPOSITORIES} AS copied FROM (
+    SELECT val, count(DISTINCT owner) + CAST(bool_or(owner IS NULL) AS INTEGER) AS n_owners, count(DISTINCT doc_id) AS n_repositories FROM c GROUP BY val)
 ), j AS (
   SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM c JOIN o USING (val) WHERE kind <> 'owned' OR NOT copied
 ), s AS (

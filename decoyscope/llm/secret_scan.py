@@ -2,8 +2,8 @@
 
 Patterns give candidates: three base kinds that are always reported, and opaque mixed strings that may be
 secrets. Values are counted over the whole corpus by distinct repositories (documents) and distinct owners
-(sources), in three steps that each combine before they shuffle. A value that many owners or repositories hold is
-a copied example; a value of one or two owners and few repositories looks live. Opaque strings are reported, as
+(sources), in three steps that each combine before they shuffle. A value that many owners hold is a copied example, and so is one
+that two owners hold in many repositories; a value of a single owner looks live in however many of its repositories it is. Opaque strings are reported, as
 kind `owned`, only if they look live; base spans keep their place and get the same judgement.
 
 Positions come from the text between matches: a match starts after all pieces and matches before it. Offsets
@@ -22,7 +22,7 @@ from .common import row_key, stored
 
 MIN_ASSIGNED = 6
 MAX_OWNERS, MAX_REPOSITORIES = 2, 5
-"""A value of more owners, or in more documents, is a copied example."""
+"""A value of more owners, or of several owners and in more documents, is a copied example."""
 
 KINDS = ("assign", "access", "hex", "owned")
 
@@ -73,7 +73,8 @@ def ownership(found: DataFrame) -> DataFrame:
     held = found.select("value", "owner", "doc_id").distinct()
     by_owner = held.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("held"))
     counted = by_owner.groupBy("value").agg(F.sum("held").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
-    return counted.withColumn("copied", (F.col("n_owners") > MAX_OWNERS) | (F.col("n_repositories") > MAX_REPOSITORIES))
+    shared = (F.col("n_owners") > 1) & (F.col("n_repositories") > MAX_REPOSITORIES)
+    return counted.withColumn("copied", (F.col("n_owners") > MAX_OWNERS) | shared)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:

@@ -55,6 +55,15 @@ def test_copied_values_are_not_owned(spark, secrets):
     assert all(set(filter(None, r.base.split(","))) <= set(r.spans.split(",")) for r in rows.values())
 
 
+def test_owners_are_judged_before_repositories(spark):
+    keys = {name: "Kq7" + hashlib.sha256(name.encode()).hexdigest()[:20].upper() + "w" for name in ("one", "two", "few", "none")}
+    rows = [(k, f"key {keys['one']}", "o1") for k in range(40)]  # one owner, many documents
+    rows += [(100 + k, f"key {keys['two']}", f"o{k % 2}") for k in range(6)] + [(200 + k, f"key {keys['few']}", f"o{k % 2}") for k in range(5)]
+    rows += [(300 + k, f"key {keys['none']}", None) for k in range(9)]  # a missing owner is one owner
+    found = {r.doc_id: "owned" in r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found == {i: not 100 <= i < 200 for i, _, _ in rows}
+
+
 def test_secret_scan_of_no_rows(no_docs):
     assert secret_scan.scan(no_docs).count() == 0
 
