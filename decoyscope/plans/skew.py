@@ -33,10 +33,15 @@ def spread_lookup(
     return salted.join(cells, [*keys, "_spread"], how).drop("_spread")
 
 
+def not_broadcast(exploded: DataFrame) -> DataFrame:
+    """Join `exploded` by a shuffle: Spark's size estimate leaves out what explode repeats, so it would pass for small."""
+    return exploded.hint("merge")
+
+
 def repeated_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str], spread: int, how: str = "inner") -> DataFrame:
     """`spread_lookup` for a small `right`: every row of it is repeated per salt, and `left` is evaluated once."""
     salted = left.withColumn("_spread", spread_column(spread_on, spread))
-    copies = right.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    copies = not_broadcast(right.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))))
     return salted.join(copies, [*keys, "_spread"], how).drop("_spread")
 
 
@@ -59,26 +64,19 @@ def interval_join(
     """Inner join on `keys` and `start <= ts <= end`, both inclusive.
 
     Time slots join as one more equality, so the join never scans all intervals of a key, and
-    a salt cuts a hot (key, slot). Slots are clipped to those where the key has points at all; where
-    the intervals are the few, points outside all their slots are left out first instead and
-    the intervals are repeated per salt, so the points are read once.
+    a salt cuts a hot (key, slot). An interval is repeated only for the (slot, salt) combinations that
+    the points really hold, and repeated rows are never broadcast. Where the intervals are the few,
+    points outside all their slots are left out first.
     """
     width = slot_seconds * 1_000_000
-    slotted = points.withColumn("_slot", slot(F.col(ts), width))
-    if few_intervals:
-        pieces = intervals.where(F.col(start) <= F.col(end)).withColumn(
-            "_slot", F.explode(F.sequence(slot(F.col(start), width), slot(F.col(end), width)))
-        )
-        near = slotted.join(pieces.select(*keys, "_slot").distinct(), [*keys, "_slot"], "left_semi")
-        joined = repeated_lookup(near, pieces, [*keys, "_slot"], spread_on, spread)
-        return joined.where(F.col(ts).between(F.col(start), F.col(end))).drop("_slot")
-    salted = slotted.withColumn("_spread", spread_column(spread_on, spread))
-    cells = salted.select(*keys, "_slot", "_spread").distinct()
-    pieces = (
-        intervals.where(F.col(start) <= F.col(end))
-        .withColumn("_slot", F.explode(F.sequence(slot(F.col(start), width), slot(F.col(end), width))))
-        .join(cells, [*keys, "_slot"])
+    salted = points.withColumn("_slot", slot(F.col(ts), width)).withColumn("_spread", spread_column(spread_on, spread))
+    slotted = intervals.where(F.col(start) <= F.col(end)).withColumn(
+        "_slot", F.explode(F.sequence(slot(F.col(start), width), slot(F.col(end), width)))
     )
+    cells = salted.select(*keys, "_slot", "_spread").distinct()
+    pieces = not_broadcast(not_broadcast(slotted).join(cells, [*keys, "_slot"]))
+    if few_intervals:
+        salted = salted.join(not_broadcast(slotted.select(*keys, "_slot").distinct()), [*keys, "_slot"], "left_semi")
     return (
         salted.join(pieces, [*keys, "_slot", "_spread"])
         .where(F.col(ts).between(F.col(start), F.col(end)))

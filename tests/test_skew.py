@@ -9,7 +9,7 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from decoyscope.plans.skew import (
-    describe_values, exact_percentiles, interval_join, latest_per_key, running_counts, spread_lookup,
+    describe_values, exact_percentiles, interval_join, latest_per_key, repeated_lookup, running_counts, spread_lookup,
 )
 
 
@@ -63,6 +63,16 @@ def test_interval_join_equals_brute_force(spark):
     assert got == {(i, j) for k, t, i in points for key, a, b, j in spans if key == k and a <= t <= b}
 
 
+def test_repeated_rows_are_never_broadcast(spark):
+    """The size estimate of an exploded table leaves out the repeats: a broadcast of them took all of the driver's memory."""
+    points = spark.createDataFrame([("a", at(i), i) for i in range(50)], "k string, ts timestamp, i int")
+    spans = spark.createDataFrame([("a", at(0), at(7200), 1)], "k string, a timestamp, b timestamp, j int")
+    looked = repeated_lookup(points, spans.select("k", "j"), ["k"], ["i"], 4)
+    for df in (looked, *[interval_join(points, spans, ["k"], "ts", "a", "b", 1800, 4, ["i"], few) for few in (False, True)]):
+        assert len(df.collect()) == 50
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_counts_equal_prefix_sums(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["hot", "hot", "b"]), rng.randrange(0, 20_000), rng.randrange(3)) for _ in range(500)]
