@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from decoyscope.functions.values import seconds_between
 from decoyscope.operators.experiments import event_points
 from decoyscope.operators.sessions import is_internal, session_window_rollup
+from decoyscope.plans.skew import slot
 from decoyscope.settings import DEFAULTS, Settings
 from decoyscope.sources.store import stream_writer, write_batch
 
@@ -49,19 +51,21 @@ def run_arrivals(runs: DataFrame, events: DataFrame, longest_run: str, lateness:
     """(experiment_id, end_time, ingested) of every event of a run, both sides being streams.
 
     Runs come in when they end. A run lasts at most `longest_run`, so an event is held for that long and a run
-    until the events have passed its end. Equality is on the route, a time slot and a salt: a run goes to each slot
-    it covers and to each salt, so neither a hot route nor a hot hour is one task's work or one key's state.
+    until the events have passed its end. Equality is on the route, a part of a time slot and a salt: a run goes to each
+    part it covers and to each salt, so neither a hot route nor a hot hour is one task's work or one key's state.
+    A slot is still cut in `spread`, but a short run is held in the parts of the slot that it touches only.
     """
+    salts = isqrt(settings.spread)
+    width = settings.match_slot_seconds * 1_000_000 // (settings.spread // salts)
     points = event_points(events).withWatermark("ts", lateness).withColumns({
-        "_slot": F.floor(F.unix_seconds("ts") / settings.match_slot_seconds),
-        "_salt": F.pmod(F.xxhash64("event_id"), F.lit(settings.spread)).cast("int"),
+        "_slot": slot(F.col("ts"), width), "_salt": F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"),
     })
-    covered = F.sequence(*[F.floor(F.unix_seconds(name) / settings.match_slot_seconds) for name in ("start_time", "end_time")])
+    covered = F.sequence(slot(F.col("start_time"), width), slot(F.col("end_time"), width))
     windows = (
         runs.where("start_time <= end_time").select("experiment_id", "attacker_ip", "target_ip", "target_honeypots", "start_time", "end_time")
         .withWatermark("end_time", lateness)
         .withColumn("_slot", F.explode(covered))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(settings.spread - 1))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     keys = ("attacker_ip", "target_ip", "_slot", "_salt")
     p, w = points.alias("p"), windows.alias("w")
@@ -96,8 +100,11 @@ def edge_arrivals(arrivals: DataFrame, settings: Settings = DEFAULTS) -> DataFra
 def arrival_stream(arrivals: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS, available_now: bool = False) -> StreamingQuery:
     """Keep the edges of each batch of `run_arrivals` in a daily table that `settle_marks` reads as a stream.
 
-    A replayed batch replaces its own files; copies it may leave for a reader decide nothing new.
+    A replayed batch replaces its own files; copies it may leave for a reader decide nothing new. Old state of the join goes
+    with the next batch of rows: a batch without rows would read all of it and give nothing.
     """
+    spark = arrivals.sparkSession
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
 
     def store(batch: DataFrame, batch_id: int) -> None:
         edges = edge_arrivals(batch, settings).withColumn("event_date", F.to_date("ingested"))
@@ -105,7 +112,12 @@ def arrival_stream(arrivals: DataFrame, path: str, checkpoint: str, settings: Se
 
     writer = arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")  # a stream keeps the options it is started with
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
 
 
 def settle_marks(arrivals: DataFrame, runs: DataFrame, lateness: str) -> DataFrame:
@@ -149,7 +161,7 @@ class SettleTimer(StatefulProcessor):
         return False, self.limit
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        end, spans, timer, done = self.run.get() if self.run.exists() else (None, [], None, False)
+        end, spans, timer, done = self.run.get() or (None, [], None, False)
         if done:
             return iter(())
         slots = {first // self.quiet: (first, last) for first, last in zip(spans[::2], spans[1::2])}

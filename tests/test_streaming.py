@@ -309,6 +309,20 @@ def test_runs_and_events_joined_as_streams_settle_as_in_the_batch_form(spark, tm
     assert reported == sorted(tuple(row) for row in expected.collect()) and len(reported) == 6 and {row[1] for row in reported} == {True, False}
 
 
+def test_a_short_run_is_held_in_few_copies_and_no_batch_without_rows_is_run(spark, tmp_path):
+    runs = spark.createDataFrame([("short", "10.0.0.2", "192.168.50.10", [], at(60), at(120))], RUN)
+    events = make_events(spark, [{"id": f"e{n}", "at": n, "seen": n + 1} for n in (61, 90, 119)])
+    for name, frame in (("runs", runs), ("events", events)):
+        frame.write.parquet(str(tmp_path / name))
+    ended, seen = (spark.readStream.schema(frame.schema).parquet(str(tmp_path / name)) for name, frame in (("runs", runs), ("events", events)))
+    running = arrival_stream(run_arrivals(ended, seen, "1 hour", "1 minute"), str(tmp_path / "arrivals"), str(tmp_path / "joined"), available_now=True)
+    running.awaitTermination()
+    batches = [progress for progress in running.recentProgress if progress["stateOperators"]]
+    assert [progress["stateOperators"][0]["numRowsTotal"] for progress in batches] == [3 + 4]
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+    assert sorted(r.ingested for r in spark.read.parquet(str(tmp_path / "arrivals")).collect()) == [at(62), at(120)]
+
+
 def test_marks_out_of_order_settle_alike_and_leave_no_state(spark, tmp_path):
     waits = [9, 2, 0.5, 4.9, 20, -3, 7.5, 2.0]  # quiet from 9 on
     marks = [("a", at(100), at(100 + wait), at(100 + wait)) for wait in waits]
