@@ -26,6 +26,9 @@ class Settings:
 
 DEFAULTS = Settings()
 
+# A broadcast side passes through the driver in several copies, and a scored run joins some ten tables at once.
+BROADCAST_BYTES = 1 << 20
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options every job of this package relies on."""
@@ -44,4 +47,8 @@ def configure(spark: SparkSession) -> SparkSession:
     }
     for key, value in options.items():
         spark.conf.set(key, value)
+    # A session may allow smaller broadcasts or none (-1), never larger ones.
+    allowed = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if allowed > BROADCAST_BYTES:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(BROADCAST_BYTES))
     return spark

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from decoyscope.plans.skew import (
     describe_values, exact_percentiles, interval_join, latest_per_key, repeated_lookup, running_counts, spread_lookup,
 )
+from decoyscope.settings import configure
 
 
 def test_exact_percentiles_match_linear_interpolation_under_a_hot_key(spark):
@@ -73,6 +74,23 @@ def test_repeated_rows_are_never_broadcast(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(("allowed", "kept"), [("10m", "1048576"), (None, "1048576"), ("256k", "256k"), ("-1", "-1")])
+def test_joins_broadcast_a_megabyte_at_most(spark, allowed, kept):
+    """Tables of several MB went through the driver, ten and more of them in a query on scored runs."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        spark.conf.unset(key) if allowed is None else spark.conf.set(key, allowed)
+        configure(spark)
+        assert spark.conf.get(key) == kept
+        rows = spark.range(200_000).select("id", (F.col("id") + 1).alias("n"))
+        joined = rows.join(rows.withColumnRenamed("n", "m"), "id")
+        assert joined.agg(F.count("*")).first()[0] == 200_000
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+        configure(spark)
+
+
 def test_running_counts_equal_prefix_sums(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["hot", "hot", "b"]), rng.randrange(0, 20_000), rng.randrange(3)) for _ in range(500)]
