@@ -13,7 +13,7 @@
 5. Links give components; a component's name is its smallest doc_id.
 
 No task gathers a key: they are counted by partial aggregates and looked up by joins that Spark splits where one is hot. Only the links
-that join different classes are listed, never all pairs.
+that join different classes are listed, never all pairs. Fingerprints and their variants are joined by shuffles and never pass through the driver.
 
 Edge cases: a null text counts as empty, and all empty texts share fingerprint zero and are linked like any other; repeated
 rows and equal doc_ids are allowed; a null doc_id counts as after all others and is returned as null; a text of any length is read whole, in
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import stored
+from .common import shuffled, stored
 from .components import components
 from .textkit import pieces
 
@@ -151,12 +151,12 @@ def links(marks: DataFrame, limit: int = LIMIT) -> DataFrame:
         rows = _variants(rows, width)
         keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", "mark", "root")).alias("anchor"))
         keys = keys.where("size > 1").select("key", "size", F.col("anchor.mark").alias("anchor"), F.col("anchor.root").alias("anchor_root"))
-        live = stored(rows.join(keys, "key"), "simhash-keys")
+        live = stored(shuffled(rows).join(keys, "key"), "simhash-keys")
         near = live.where("root <> anchor_root").where(_distance("mark", "anchor") <= DISTANCE)
         near = stored(near.select(F.col("root").alias("a"), F.col("anchor_root").alias("b")).distinct(), "simhash-links")
         found = near if found is None else found.union(near)
         tops = components(near).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        live = live.join(tops, "root", "left").select("key", "size", "mark", "n", F.coalesce("top", "root").alias("root"), "low")
+        live = shuffled(live).join(tops, "root", "left").select("key", "size", "mark", "n", F.coalesce("top", "root").alias("root"), "low")
         several = live.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
         live = stored(live.join(several, "key", "left_semi"), "simhash-open")
         width //= 2
@@ -176,8 +176,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     marks = stored(own.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc")), "fingerprint-owners")
     roots = components(links(marks)).select(F.col("node").alias("mark"), "root")
     rooted = stored(marks.join(roots, "mark", "left").select("mark", "doc", F.coalesce("root", "mark").alias("root")), "fingerprint-roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("doc").alias("component")), "root").select("mark", "component")
+    named = shuffled(rooted).join(rooted.groupBy("root").agg(F.min("doc").alias("component")), "root").select("mark", "component")
     known = lambda column: F.when(F.col(column) != LAST, F.col(column))
-    return own.join(named, "mark").select(
+    return shuffled(own).join(named, "mark").select(
         known("doc").alias(doc_id), F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), known("component").alias("component_id")
     )

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from llm_corpus import corpus, docs, no_docs, words  # noqa: F401
 from decoyscope.llm import simhash, textkit
+from decoyscope.llm.common import stored
 from decoyscope.llm.components import components
+from decoyscope.settings import configure
 
 LAST = simhash.LAST
 
@@ -96,3 +98,25 @@ def test_links_of_dense_and_lone_fingerprints(spark, limit):
         want.setdefault(root, set()).add(m)
         got.setdefault(named.get(signed(m), signed(m)), set()).add(m)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_variants_and_documents_are_never_broadcast(spark, monkeypatch):
+    """The size estimate leaves out that a fingerprint is repeated 64 times: a broadcast of them took all of the driver's memory."""
+    plans = {}
+
+    def planned(df, name):
+        df.collect()  # the plan that ran, not the one it began with
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", planned)
+    rows = [(k, " ".join(f"w{k // 3 * 100 + j}" for j in range(40 + k % 3 // 2))) for k in range(30)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        found = simhash.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(tuple(r) for r in found.select("doc_id", "fingerprint", "component_id").collect()) == brute(rows)
+        for plan in (*plans["simhash-keys"], found._jdf.queryExecution().executedPlan().toString()):
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        configure(spark)
